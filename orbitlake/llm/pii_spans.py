@@ -15,7 +15,7 @@ S = f"[{BLANKS}]"
 H = r"[-\u2010\u2011]"
 WORD = rf"(?:(?:O['’]|Ma?c|D['’])[{U}]\w+|[{U}][^\W\d_]+)(?:{H}(?:O['’]|Ma?c)?[^\W\d_]+)*"
 INITIAL = rf"[{U}]\."
-PARTICLE = rf"(?:van{S}de[rn]|van{S}de|von{S}der|von|van|de{S}la|del|de|da|di|du|af)"
+PARTICLE = rf"(?:[Vv]an{S}de[rn]|[Vv]an{S}de|[Vv]on{S}der|[Vv]on|[Vv]an|[Dd]e{S}la|[Dd]el|[Dd]e|da|di|du|af)"
 NAME = rf"(?:(?:{INITIAL}{S}?)+(?:{PARTICLE}{S})?{WORD}|{PARTICLE}{S}{WORD}|{WORD}(?:{S}{INITIAL})*(?:{S}(?:{PARTICLE}{S})?{WORD}){{0,2}})"
 TURNED = rf"(?:(?:{PARTICLE}{S})?{WORD}(?:{S}{WORD})?,{S}(?:{WORD}(?:{S}{INITIAL})*|(?:{INITIAL}{S}?)+))"
 TITLE = rf"(?:(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Hr|Fr|Sr|Sra|Mme|Mlle|M|Señora?|Don|Doña|Monsieur|Madame)\b\.?{S})"
@@ -112,6 +112,10 @@ def _town(m: re.Match) -> tuple[str, str | None, str | None]:
     return m.group(), None, None
 
 
+#: Of these, the ones that are given names too.
+GIVEN = {"June", "Rose", "Will", "Mark"}
+
+
 class _Taken:
     """Disjoint intervals."""
 
@@ -271,13 +275,13 @@ def _names(text: str, out: list, taken: _Taken) -> None:
             name = "" if x[0] <= a else text[a : x[0]].rstrip(BLANKS + "\n,;:(<")
             b = a + len(name)
         letters = re.findall(r"[^\W\d_]{2,}", name)
-        if not letters or name in STARTERS:
+        if not letters or name in TITLES or name in STARTERS and not (seed and name in GIVEN):
             continue
         right = text[b : b + 24]
         if METHOD.match(right):
             seed = False
         taken.add(a, b)
         words = [f"w:{w}" for w in re.split(rf"{S}|,|{H}", name) if len(w) > 2]
-        left = re.findall(r"[\w'’-]+", text[max(0, a - 30) : a])[-1:] or ["^"]
+        left = re.findall(r"[\w'’-]+", text[max(0, a - 30) : a])[-2:] or ["^"]
         follow = re.findall(r"^\W{0,2}([\w'’-]+)", right) or ["$"]
-        out.append(("name", name, a, b, None, [*words, f"l:{left[0].lower()}", f"r:{follow[0].lower()}"], seed))
+        out.append(("name", name, a, b, None, [*words, f"l:{' '.join(left).lower()}", f"r:{follow[0].lower()}"], seed))
