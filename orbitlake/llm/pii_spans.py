@@ -69,7 +69,7 @@ _NAME = re.compile(NAME)
 _TURNED = re.compile(TURNED)
 _TITLES = re.compile(rf"(?:{TITLE})*")
 _BACK = re.compile(rf"(?<![\w-])(?:{TITLE})*(?P<n>{NAME}){S}\Z")
-_DOTTED = re.compile(rf"(?<![\w.])[{U}]\.(?={S}?[{U}])")
+_DOTTED = re.compile(rf"(?<![\w.-])[{U}]\.(?={S}?[{U}])")
 _FULL = re.compile(rf"(?:{INITIAL}{S}?)+(?:{PARTICLE}{S})?{WORD}")
 _MIDDLE = re.compile(rf"(?<![\w-])(?P<n>{WORD}(?:{S}{INITIAL})+{S}(?:{PARTICLE}{S})?{WORD})")
 _REPORTED = re.compile(rf"(?P<n>{ANYCASE})(?=,)")
@@ -89,6 +89,8 @@ STARTERS = set(
 
 def _trim(name: str) -> str:
     """A name without the sentence that runs on after it."""
+    if "," in name:
+        return name
     words = re.split(rf"({S}+)", name)
     keep = 1
     for n in range(2, len(words), 2):
@@ -153,7 +155,7 @@ def spans(text: str) -> list[tuple[str, str, int, int, str | None, list[str] | N
     """(kind, item, start, end, longer, terms, seed), without overlaps.
 
     ``longer``: an address with a town of two words where this is open; ``terms``: of a name, its words (w:) and contexts
-    (l: and r:); of an open address, its town (t:); ``seed``: declared context says that it is a person.
+    (l:, r: and m:); of an open address, its town (t:); ``seed``: declared context says that it is a person.
     """
     out: list = []
     taken = _Taken()
@@ -262,12 +264,14 @@ def _names(text: str, out: list, taken: _Taken) -> None:
             multi = len(m["n"].split()) > 1
             if no and (before in ("--", "—", "-") or before.endswith(",")) or near and (multi or not before) or multi and no and not before and no >= len(lines) - 4:
                 found.append((start + m.start("n"), m["n"], True))
+            else:
+                found.append((start + m.start("n"), m["n"], False))
     for m in LOOSE.finditer(text):
         found.append((m.start(), m.group(), False))
     found.sort(key=lambda x: (not x[2], -len(x[1]), x[0]))
     for a, name, seed in found:
         first = re.match(rf"[^\W\d_]+{S}", name)
-        if first and first.group()[:-1] in STARTERS and re.match(INITIAL, name[first.end() :]):
+        if first and first.group()[:-1] in STARTERS and first.group()[:-1] not in GIVEN:
             a, name = a + first.end(), name[first.end() :]
         name = _trim(name).rstrip(BLANKS + "\n,;:(<")
         b = a + len(name)
@@ -278,10 +282,10 @@ def _names(text: str, out: list, taken: _Taken) -> None:
         if not letters or name in TITLES or name in STARTERS and not (seed and name in GIVEN):
             continue
         right = text[b : b + 24]
-        if METHOD.match(right):
-            seed = False
+        method = bool(METHOD.match(right) or METHOD_LEFT.search(text[max(0, a - 24) : a]))
+        seed = seed and not METHOD.match(right)
         taken.add(a, b)
         words = [f"w:{w}" for w in re.split(rf"{S}|,|{H}", name) if len(w) > 2]
         left = re.findall(r"[\w'’-]+", text[max(0, a - 30) : a])[-2:] or ["^"]
         follow = re.findall(r"^\W{0,2}([\w'’-]+)", right) or ["$"]
-        out.append(("name", name, a, b, None, [*words, f"l:{' '.join(left).lower()}", f"r:{follow[0].lower()}"], seed))
+        out.append(("name", name, a, b, None, [*words, f"l:{' '.join(left).lower()}", f"r:{follow[0].lower()}", *["m:method"] * method], seed))
