@@ -19,14 +19,15 @@ MOLECULE_BASE = 1 << 33
 def attach(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join of rows with one value row for each key, ``values.deg`` being the number of rows with that key.
 
+    Both sides grow with the data, so that the join is a shuffled one at every size.
     Keys with more than HOT_SHARE of all rows, of which there can't be more than 1 / HOT_SHARE, are joined by broadcast.
     """
     limit = max(10_000, int(total * HOT_SHARE))
     hot = values.where(F.col("deg") > limit)
     if total <= limit or hot.limit(1).count() == 0:
-        return rows.join(values, keys)
+        return rows.join(values.hint("merge"), keys)
     hot = F.broadcast(hot)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col("deg") <= limit), keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col("deg") <= limit).hint("merge"), keys))
 
 
 def seed_tree(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
@@ -40,6 +41,7 @@ def seed_tree(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Data
     both = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
     graph = scratch.put(real.select("scope", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     forest: list[DataFrame] = []
+    scratch.sweep()
     n = graph.count()
     while n:
         if len(forest) == max_rounds:
@@ -48,12 +50,14 @@ def seed_tree(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Data
         least = scratch.put(arcs.groupBy("scope", "u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).withColumn("m", F.least("u", "m")))
         chosen = attach(arcs, least, ["scope", "u"], 2 * n).select("scope", F.col("v").alias("u"), F.col("m").alias("b")).unionAll(least.select("scope", "u", F.col("m").alias("b")))
         chosen = scratch.put(chosen.distinct())
+        scratch.sweep()
         nearest = scratch.put(chosen.groupBy("scope", "u").agg(F.min("b").alias("m"), F.count("*").alias("deg"), F.max(F.col("b") == F.col("u")).alias("kept")))
         forest.append(scratch.put(nearest.where("not kept").select("scope", F.col("u").alias("node"), F.col("m").alias("parent"))))
         total = chosen.count()
         next_edges = attach(chosen, nearest.where("deg > 1").select("scope", "u", "m", "deg"), ["scope", "u"], total).where("b != m").select("scope", F.col("m").alias("u"), F.col("b").alias("v"))
-        before, graph = graph, scratch.put(next_edges.distinct())
-        scratch.drop(before, least, chosen, nearest)
+        scratch.drop(graph, least)
+        graph = scratch.put(next_edges.distinct())
+        scratch.drop(chosen, nearest)
         n = graph.count()
         scratch.sweep()
     if not forest:
@@ -61,7 +65,7 @@ def seed_tree(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Data
     labels = forest[-1].select("scope", "node", F.col("parent").alias("root"))
     for tree in reversed(forest[:-1]):
         above = labels.select("scope", F.col("node").alias("parent"), F.col("root").alias("_root"))
-        here = tree.join(above, ["scope", "parent"], "left").select("scope", "node", F.coalesce("_root", "parent").alias("root"))
+        here = tree.join(above.hint("merge"), ["scope", "parent"], "left").select("scope", "node", F.coalesce("_root", "parent").alias("root"))
         labels = scratch.put(here.unionAll(labels))
     return labels
 
@@ -73,16 +77,21 @@ def atom_groups(atoms: DataFrame, bonds: DataFrame, scratch: Scratch) -> DataFra
     atom whose rows name several molecules links these. Rows with a null frame or id are no atoms.
     """
     rows = atoms.where("frame_id is not null and id is not null").select(F.col("frame_id").alias("scope"), F.col("id").cast("long").alias("id"), F.when(F.col("molecule_id") > 0, F.col("molecule_id") + F.lit(MOLECULE_BASE)).alias("mol"))
-    known = scratch.put(rows.groupBy("scope", "id").agg(F.min("mol").alias("mol"), F.max("mol").alias("last")).withColumn("vertex", F.coalesce("mol", "id")))
+    held = rows.groupBy("scope", "id").agg(F.min("mol").alias("mol"), F.max("mol").alias("last"))
+    known = scratch.put(held.select("scope", "id", F.coalesce("mol", "id").alias("vertex"), F.coalesce(F.col("mol") != F.col("last"), F.lit(False)).alias("torn")))
+    scratch.sweep()
     ends = known.select("scope", "id", "vertex")
     links = bonds.select(F.col("frame_id").alias("scope"), F.col("atom_i").cast("long").alias("i"), F.col("atom_j").cast("long").alias("j")).where("scope is not null and i is not null and j is not null and i != j")
-    links = links.join(ends.select("scope", F.col("id").alias("i"), F.col("vertex").alias("u")), ["scope", "i"]).join(ends.select("scope", F.col("id").alias("j"), F.col("vertex").alias("v")), ["scope", "j"]).select("scope", "u", "v")
-    if known.where("mol != last").limit(1).count():
-        torn = known.where("mol != last").select("scope", "id", F.col("mol").alias("u"))
+    links = links.join(ends.select("scope", F.col("id").alias("i"), F.col("vertex").alias("u")).hint("merge"), ["scope", "i"]).join(ends.select("scope", F.col("id").alias("j"), F.col("vertex").alias("v")).hint("merge"), ["scope", "j"]).select("scope", "u", "v")
+    if known.where("torn").limit(1).count():
+        torn = known.where("torn").select("scope", "id", F.col("vertex").alias("u"))
         links = links.unionAll(rows.join(torn, ["scope", "id"]).where("mol is not null and mol != u").select("scope", "u", F.col("mol").alias("v")))
     roots = seed_tree(links, scratch)
+    scratch.sweep()
     own = scratch.put(known.groupBy("scope", "vertex").agg(F.min("id").alias("low"), F.count("*").alias("size")))
-    rooted = scratch.put(own.join(roots.withColumnRenamed("node", "vertex"), ["scope", "vertex"], "left").withColumn("root", F.coalesce("root", "vertex")))
+    rooted = scratch.put(own.join(roots.withColumnRenamed("node", "vertex").hint("merge"), ["scope", "vertex"], "left").withColumn("root", F.coalesce("root", "vertex")))
+    scratch.drop(own)
+    scratch.sweep()
     lowest = scratch.put(rooted.groupBy("scope", "root").agg(F.min("low").alias("group_id"), F.count("*").alias("deg")))
     grouped = attach(rooted, lowest, ["scope", "root"], rooted.count()).select("scope", "vertex", "group_id", F.col("size").alias("deg"))
     return attach(known.select("scope", "id", "vertex"), scratch.put(grouped), ["scope", "vertex"], known.count()).select(F.col("scope").alias("frame_id"), F.col("id").alias("atom_id"), "group_id")
