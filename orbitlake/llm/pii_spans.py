@@ -76,13 +76,13 @@ _REPORTED = re.compile(rf"(?P<n>{ANYCASE})(?=,)")
 _SIGNED = re.compile(rf",?(?:{S}|{S}*\n+){S}?(?:{TITLE})*(?P<n>{NAME})(?={S}*(?:\n|\Z)|{S}[{U}])")
 LOOSE = re.compile(rf"(?<=[^\W\d_,(]{S}){WORD}(?:{S}{INITIAL})*(?:{S}(?:{PARTICLE}{S})?{WORD}){{0,2}}")
 METHOD = re.compile(rf"(?:{H}|–|{S})(?:thermostat|barostat|mixing|parameters|Thermostat|Barostat|test case|engine|builder|algorithm|method|integrator|potential|model|summation|release|Street|Lane|Road)\b")
-METHOD_LEFT = re.compile(r"(?i)(?:thermostat(?: de)?|termostato de|barostat(?: de)?|barostato de|méthode de|método de|version|engine|with|mit|avec|con) $")
+METHOD_LEFT = re.compile(r"(?i)(?:(?:thermostat|termostato|barostat|barostato)(?: (?:de|von|van der|van))?|méthode de|método de|version|engine|with|mit|avec|con) $")
 LINE_NAME = re.compile(rf"{S}*(?:{TITLE})*(?P<n>{NAME}){S}*$")
 _CHUNK = re.compile(rf"[+(]?\d[\d().\-/+\u2010\u2011{BLANKS}]{{5,}}\d")
 #: Words that start sentences, so that they end a name or a town before them.
 STARTERS = set(
     "The This That These Those A An In On At For From With Without When Where Why Who What Which Is Are Was Were Does Do Did Has Have Had Will Would Can Could May Please See Note We I You He She It They My Our Your "
-    "Run Rank Step Frame Frames Sample Type Bond Angles Hydrogens Solvent Order Columns Copy Convert Mark Every Setting Reading Writing Restarting Increasing Averages After Before Here Principal Call Contact Reply Cc National User Prepared Reported Thanks Questions According As Ship "
+    "Run Rank Step Frame Frames Sample Type Bond Angles Hydrogens Solvent Order Columns Copy Convert Mark Every Setting Reading Writing Restarting Increasing Averages After Before Here Principal Call Contact Reply Reply-To Cc National User Prepared Reported Thanks Questions According As Ship "
     "Die Der Das Den Dem Ein Eine Im Mit Nach Bitte Warum Welche Schritt Temperatur Rückfragen Meine Telefonisch Steuer Le La Les Un Une Nous Avec Mon Écrivez Avez El Los Las Una Con En Al Mi Simulamos Faltan Envíe Escriba Rose June Has Best Cheers Gruß Atentamente PDB Does DNI".split()
 )
 
