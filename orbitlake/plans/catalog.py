@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitlake.plans import problems
+from orbitlake.plans import molecules, problems
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**molecules.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**molecules.SQL}
