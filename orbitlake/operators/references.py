@@ -18,14 +18,14 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "
     match: ``simple`` - a key with any null is no reference; ``partial`` - only its non-null columns must be found,
     and an all-null key is no reference; ``full`` - nulls in some but not all columns are a violation in themselves.
     With ``target_info``, targets must have unique keys; the rows that are found come out too, with these columns, and
-    the orphans have nulls there and ``is_orphan`` true: one pass for checks that need the target's data.
+    the orphans have nulls there and ``is_orphan`` true (columns of refs with these names are replaced): one pass for checks that need the target's data.
     Repeated rows of refs stay; repeated targets count once; empty targets make every reference an orphan. Other
     columns of targets are ignored, so that equal names don't clash.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics: {match}")
     mask = F.concat(*[F.when(F.col(k).isNull(), "1").otherwise("0") for k in keys])
-    marked = refs.withColumn("null_mask", mask)
+    marked = refs.drop("is_orphan", *(target_info or [])).withColumn("null_mask", mask)
     whole, none = "0" * len(keys), "1" * len(keys)
     parts = []
     info = target_info or []

@@ -153,14 +153,17 @@ def assign_units(fields: DataFrame, unitref: DataFrame, sure: float = 0.9) -> Da
 
 
 def to_common(assigned: DataFrame, unitref: DataFrame) -> DataFrame:
-    """Adds ``common_unit`` and ``common_values``: value * 10^pow10 * factor + shift. Null samples stay null; fields without a unit get null."""
+    """Adds ``common_unit`` and ``common_values``: value * 10^pow10 * factor + shift. Null samples stay null; fields without a unit get null.
+
+    Columns of the input with these two names are replaced, other columns stay.
+    """
     ref = unitref.dropDuplicates(["quantity", "unit_code"])
-    rules = ref.select("quantity", "unit_code", "factor", "shift")
+    rules = ref.select("quantity", "unit_code", F.col("factor").alias("_factor"), F.col("shift").alias("_shift"))
     common = ref.where("is_common").groupBy("quantity").agg(F.min("unit_code").alias("common_unit"))
     return (
-        assigned.join(rules.hint("broadcast"), ["quantity", "unit_code"], "left").join(common.hint("broadcast"), "quantity", "left")
-        .withColumn("common_values", F.when(F.col("factor").isNotNull(), F.transform("grid_values", lambda v: v * F.pow(F.lit(10.0), F.col("pow10").cast("double")) * F.col("factor") + F.col("shift"))))
-        .drop("factor", "shift")
+        assigned.drop("common_unit").join(rules.hint("broadcast"), ["quantity", "unit_code"], "left").join(common.hint("broadcast"), "quantity", "left")
+        .withColumn("common_values", F.when(F.col("_factor").isNotNull(), F.transform("grid_values", lambda v: v * F.pow(F.lit(10.0), F.col("pow10").cast("double")) * F.col("_factor") + F.col("_shift"))))
+        .drop("_factor", "_shift")
     )
 
 
