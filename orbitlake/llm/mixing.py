@@ -46,6 +46,13 @@ def _pivot(frame: pd.DataFrame, seed: int) -> pd.DataFrame:
     return frame.assign(p=p)
 
 
+def _seeded(seed: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return _pivot(frame, seed)
+
+    return run
+
+
 def targets(sized: DataFrame, mix: DataFrame) -> DataFrame:
     """source, target_share, max_repeats, n_docs, available, mixture_tokens, copies (expected number of each document).
 
@@ -70,14 +77,14 @@ def copies(sized: DataFrame, mix: DataFrame, scratch: Scratch, seed: int = 1) ->
     docs = sized.join(F.broadcast(wanted), "source").select("doc_id", "source", "n_tokens", "n_docs", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p"), u)
     block = F.floor(F.col("u") * F.ceil(F.col("n_docs") / BLOCK)).cast("int")
     state = docs.withColumn("block", block).select("doc_id", "source", "n_tokens", "whole", "p", "u", "block")
-    done = scratch.put(state.groupBy("source", "block").applyInPandas(lambda f: _pivot(f, seed), state.schema))
+    done = scratch.put(state.groupBy("source", "block").applyInPandas(_seeded(seed), state.schema))
     settled = [done.where("p = 0 or p = 1")]
     rest = done.where("p > 0 and p < 1")
     level = 0
     while rest.groupBy("source").count().where("count > 1").limit(1).count():
         level += 1
         step = rest.withColumn("block", F.floor(F.col("block") / FAN).cast("int"))
-        done = scratch.put(step.groupBy("source", "block").applyInPandas(lambda f, k=level: _pivot(f, seed + k), state.schema))
+        done = scratch.put(step.groupBy("source", "block").applyInPandas(_seeded(seed + level), state.schema))
         settled.append(done.where("p = 0 or p = 1"))
         rest = done.where("p > 0 and p < 1")
     out = rest.withColumn("p", F.when(F.col("u") < F.col("p"), 1.0).otherwise(0.0))
