@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbitlake.plans import molecules, problems
+from orbitlake.plans import files, molecules, problems
 
-QUERIES = {**molecules.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**molecules.SQL}
+QUERIES = {**molecules.QUERIES, **files.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**molecules.SQL, **files.SQL, **problems.SQL}

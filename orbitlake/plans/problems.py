@@ -59,3 +59,17 @@ def p5_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_common, p2_found, p2_schema, p2_table, p3_found, p3_by_month, p4_found, p5_found, p5_details, p5_typed)}
+
+_REFS = " UNION ALL ".join(
+    [f"SELECT '{t}' tab, {k} row_id, '{f}' ref_field, frame_id, {f} id, recorded_at t FROM {t}" for t, k, fs in (("bonds", "bond_id", ("atom_i", "atom_j")), ("angles", "angle_id", ("atom_i", "atom_j", "atom_k"))) for f in fs]
+    + ["SELECT 'conect', conect_id, 'bonded', frame_id, unnest(bonded), recorded_at FROM conect"]
+)
+_ORPHANS = f"""WITH a AS (SELECT frame_id, id, min(recorded_at) born FROM atoms GROUP BY 1, 2), x AS (SELECT frame_id, id, min(deleted_at) died FROM atomdrops GROUP BY 1, 2), r AS ({_REFS}),
+found AS (SELECT DISTINCT tab, row_id, ref_field, id::BIGINT atom_id, CASE WHEN a.id IS NULL THEN 'missing' WHEN t < born THEN 'late' ELSE 'deleted' END orphan_kind, strftime(t, '%Y-%m') rec_month
+FROM r LEFT JOIN a USING (frame_id, id) LEFT JOIN x USING (frame_id, id) WHERE r.id IS NOT NULL AND r.id <> 0 AND r.frame_id IS NOT NULL AND (a.id IS NULL OR t < born OR died <= t))"""
+SQL = {
+    "p3_found": f"{_ORPHANS} SELECT * FROM found",
+    "p3_by_month": f"{_ORPHANS} SELECT tab, ref_field, orphan_kind, rec_month, count(*) n_refs, count(DISTINCT row_id) n_rows FROM found GROUP BY 1, 2, 3, 4",
+    "p2_schema": """WITH s AS (SELECT DISTINCT file_id, spec_no, prop_name AS name, upper(ty) ty, m FROM propspecs WHERE file_id IS NOT NULL AND spec_no IS NOT NULL AND prop_name IS NOT NULL)
+SELECT name, ['L', 'I', 'R', 'S'][max(CASE ty WHEN 'L' THEN 1 WHEN 'I' THEN 2 WHEN 'R' THEN 3 ELSE 4 END)] ty, max(m) m, count(DISTINCT file_id) n_files FROM s GROUP BY name""",
+}
