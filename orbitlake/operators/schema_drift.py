@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitlake.operators.units import latest
+from orbitlake.runtime import Scratch
 
 #: The lattice: L < I < R < S; the join of several types is the highest of them, and the larger number of tokens holds.
 LATTICE = ["L", "I", "R", "S"]
@@ -69,18 +70,19 @@ def cells(lines: DataFrame, schemas: DataFrame) -> DataFrame:
     return rows.select("file_id", "line_no", atom.alias("atom"), F.explode("read").alias("r")).select("file_id", "line_no", "atom", "r.*")
 
 
-def changes(files: DataFrame, specs: DataFrame, lines: DataFrame) -> DataFrame:
+def changes(files: DataFrame, specs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     """file_id, change_kind, old_name, new_name: what differs between each file and the previous one of its stream.
 
     A removed and an added property of equal type and size are one renamed property if a digest of their values over the
     atoms that both files hold is equal, and the files share an atom. Of several with equal values, they pair up by name.
+    Each stage that several others read is written once.
     """
-    order = previous_files(files)
-    schemas = header_schemas(specs)
+    order = scratch.put(previous_files(files))
+    schemas = scratch.put(header_schemas(specs))
     slim = schemas.groupBy("file_id", "name").agg(F.min(F.struct("spec_no", "ty", "m")).alias("p")).select("file_id", "name", "p.ty", "p.m").where("name is not null")
     new = order.join(slim, "file_id").select("file_id", "name", F.col("ty").alias("new_ty"), F.col("m").alias("new_m"), F.lit(True).alias("here"))
     old = order.join(slim.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "name", F.col("ty").alias("old_ty"), F.col("m").alias("old_m"), F.lit(True).alias("there"))
-    both = new.join(old, ["file_id", "name"], "full")
+    both = scratch.put(new.join(old, ["file_id", "name"], "full"))
     same = both.where("here and there")
     kept = same.where("not (old_ty <=> new_ty)").select("file_id", F.lit("retyped").alias("change_kind"), F.col("name").alias("old_name"), F.col("name").alias("new_name"))
     kept = kept.unionAll(same.where("not (old_m <=> new_m)").select("file_id", F.lit("resized").alias("change_kind"), F.col("name").alias("old_name"), F.col("name").alias("new_name")))
@@ -90,9 +92,9 @@ def changes(files: DataFrame, specs: DataFrame, lines: DataFrame) -> DataFrame:
     # Digests are needed only where a file has lost and gained a property of one kind.
     open_ = gone.join(come.select("file_id", "ty", "m").distinct(), ["file_id", "ty", "m"], "left_semi").join(order, "file_id")
     fresh = come.join(gone.select("file_id", "ty", "m").distinct(), ["file_id", "ty", "m"], "left_semi").join(order, "file_id")
-    values = cells(lines, schemas).where("atom is not null").groupBy("file_id", "atom", "name").agg(F.min("value").alias("value"))
+    values = scratch.put(cells(lines, schemas).where("atom is not null").groupBy("file_id", "atom", "name").agg(F.min("value").alias("value")))
     ids = values.where("name = 'id'").select("file_id", "atom")
-    shared = order.join(ids, "file_id").join(ids.withColumnRenamed("file_id", "prev_id"), ["prev_id", "atom"]).select("file_id", "prev_id", "atom")
+    shared = scratch.put(order.join(ids, "file_id").join(ids.withColumnRenamed("file_id", "prev_id"), ["prev_id", "atom"]).select("file_id", "prev_id", "atom"))
 
     def digests(props: DataFrame, side: str) -> DataFrame:
         wanted = props.select("file_id", "prev_id", "name", "ty", "m").join(shared, ["file_id", "prev_id"])
@@ -102,7 +104,7 @@ def changes(files: DataFrame, specs: DataFrame, lines: DataFrame) -> DataFrame:
         return out.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "ty", "m", "n", "d1", "d2").orderBy("name")))
 
     pair = ["file_id", "ty", "m", "n", "d1", "d2", "k"]
-    renamed = digests(open_, "prev_id").withColumnRenamed("name", "old_name").join(digests(fresh, "file_id").withColumnRenamed("name", "new_name"), pair).select("file_id", F.lit("renamed").alias("change_kind"), "old_name", "new_name")
+    renamed = scratch.put(digests(open_, "prev_id").withColumnRenamed("name", "old_name").join(digests(fresh, "file_id").withColumnRenamed("name", "new_name"), pair).select("file_id", F.lit("renamed").alias("change_kind"), "old_name", "new_name"))
     gone = gone.select("file_id", F.col("name").alias("old_name")).join(renamed.select("file_id", "old_name"), ["file_id", "old_name"], "left_anti")
     come = come.select("file_id", F.col("name").alias("new_name")).join(renamed.select("file_id", "new_name"), ["file_id", "new_name"], "left_anti")
     out = renamed.unionByName(kept).unionByName(gone.select("file_id", F.lit("removed").alias("change_kind"), "old_name", F.lit("").alias("new_name")))

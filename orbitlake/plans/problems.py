@@ -21,7 +21,7 @@ def p1_common(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.changes(table(spark, d, "xyzfiles"), table(spark, d, "propspecs"), table(spark, d, "xyzlines"))
+    return schema_drift.changes(table(spark, d, "xyzfiles"), table(spark, d, "propspecs"), table(spark, d, "xyzlines"), Scratch(spark, "drift"))
 
 
 def p2_schema(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 from orbitlake.operators import schema_drift as D
+from orbitlake.runtime import Scratch
 
 FILES = "file_id long, stream_id string, written_at timestamp_ntz, ingested_at timestamp_ntz, n_atoms int"
 SPECS = "file_id long, spec_no int, prop_name string, ty string, m int"
@@ -16,7 +17,7 @@ def tables(spark):
 
 
 def test_changes(spark):
-    got = sorted(tuple(r) for r in D.changes(*tables(spark)).collect())
+    got = sorted(tuple(r) for r in D.changes(*tables(spark), Scratch(spark, "test")).collect())
     assert got == [(2, "renamed", "q", "charge"), (2, "retyped", "flag", "flag"), (3, "added", "", "new"), (3, "removed", "charge", ""), (3, "resized", "flag", "flag")]
 
 
@@ -30,4 +31,4 @@ def test_union_and_table(spark):
 
 def test_empty(spark):
     files, specs, lines = tables(spark)
-    assert D.changes(files.limit(0), specs.limit(0), lines.limit(0)).count() == 0
+    assert D.changes(files.limit(0), specs.limit(0), lines.limit(0), Scratch(spark, "test")).count() == 0
