@@ -73,3 +73,45 @@ SQL = {
     "p2_schema": """WITH s AS (SELECT DISTINCT file_id, spec_no, prop_name AS name, upper(ty) ty, m FROM propspecs WHERE file_id IS NOT NULL AND spec_no IS NOT NULL AND prop_name IS NOT NULL)
 SELECT name, ['L', 'I', 'R', 'S'][max(CASE ty WHEN 'L' THEN 1 WHEN 'I' THEN 2 WHEN 'R' THEN 3 ELSE 4 END)] ty, max(m) m, count(DISTINCT file_id) n_files FROM s GROUP BY name""",
 }
+
+
+def _whole(v: str, low: int, high: int = 2147483647) -> str:
+    return f"(regexp_full_match({v}, '[+]?[0-9]+') AND coalesce(try_cast(ltrim({v}, '+') AS HUGEINT) BETWEEN {low} AND {high}, false))"
+
+
+def _decimal(v: str) -> str:
+    return f"regexp_full_match({v}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+
+
+def _kind(v: str, kind: str) -> str:
+    plain = {
+        "positive": _whole(v, 1), "natural": _whole(v, 0), "order": _whole(v, 1, 8), "decimal": _decimal(v), "type": f"({_whole(v, 1)} OR regexp_full_match({v}, '[A-Za-z][^ \\t,\"''#]*'))", "free_type": f"({_whole(v, 1)} OR regexp_matches({v}, '^[A-Za-z]'))",
+    }[kind.rstrip("?")]
+    return f"({v} = '' OR {plain})" if kind.endswith("?") else plain
+
+
+def _malformed_sql() -> str:
+    cases = []
+    for layout, cols in malformed.LAYOUTS.items():
+        right = " AND ".join(_kind(f"t[{n + 1}]", kind) for n, (_, kind) in enumerate(cols))
+        n = len(cols)
+        if layout.startswith("lammps"):
+            right += "".join(f" AND (len(t) = {n} OR regexp_full_match(t[{n + k}], '[+-]?[0-9]+'))" for k in (1, 2, 3))
+            cases.append(f"WHEN layout = '{layout}' THEN CASE WHEN len(t) NOT IN ({n}, {n + 3}) THEN 'columns' WHEN {right} THEN NULL ELSE 'value' END")
+        elif layout == "csv":
+            cases.append(f"WHEN layout = 'csv' THEN CASE WHEN NOT shaped THEN 'quoting' WHEN len(t) <> {n} THEN 'columns' WHEN {right} THEN NULL ELSE 'value' END")
+        else:
+            short = "length(s) < 54 OR NOT regexp_matches(s, '^(ATOM|HETATM)')" if layout == "pdb_atom" else "length(s) < 9"
+            cases.append(f"WHEN layout = '{layout}' THEN CASE WHEN {short} THEN 'columns' WHEN {right} THEN NULL ELSE 'value' END")
+    cell = "([ \\t]*\"([^\"]|\"\")*\"[ \\t]*|[^\",]*)"
+    trim = lambda v: f"trim({v}, ' ' || chr(9))"
+    return f"""WITH r AS (SELECT line_id, layout, line s FROM rawlines WHERE line IS NOT NULL AND NOT regexp_matches(line, '^\\s*(#|$)')),
+p AS (SELECT *, regexp_full_match(s, '{cell}(,{cell})*') shaped FROM r),
+f AS (SELECT *, CASE layout WHEN 'pdb_atom' THEN [{trim("substr(s, 7, 5)")}, {trim("substr(s, 31, 8)")}, {trim("substr(s, 39, 8)")}, {trim("substr(s, 47, 8)")}] WHEN 'sdf_bond' THEN [{trim("substr(s, 1, 3)")}, {trim("substr(s, 4, 3)")}, {trim("substr(s, 7, 3)")}]
+WHEN 'csv' THEN list_transform(regexp_extract_all(',' || s, ',([ \\t]*"(?:[^"]|"")*"[ \\t]*|[^",]*)', 1), lambda x: {trim("CASE WHEN left(" + trim("x") + ", 1) = '\"' THEN replace(substr(" + trim("x") + ", 2, length(" + trim("x") + ") - 2), '\"\"', '\"') ELSE x END")})
+ELSE list_filter(regexp_split_to_array(regexp_replace(s, '#.*$', ''), '[ \\t]+'), lambda x: x <> '') END t FROM p),
+v AS (SELECT line_id, CASE {" ".join(cases)} ELSE 'columns' END reason FROM f)
+SELECT line_id, reason FROM v WHERE reason IS NOT NULL"""
+
+
+SQL["p5_found"] = _malformed_sql()
