@@ -272,7 +272,8 @@ def atom_degree(spark, d):
     return topology.degree(*_edges(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, {EDGES}, cc(f, id, g) USING KEY (f, id) AS (SELECT frame_id, id, id FROM pts UNION SELECT l.frame_id, l.b, min(c.g) FROM cc c JOIN arcs l ON l.frame_id = c.f AND l.a = c.id JOIN recurring.cc r ON r.f = l.frame_id AND r.id = l.b WHERE c.g < r.g GROUP BY l.frame_id, l.b)
+SELECT f frame_id, id, (dense_rank() OVER (PARTITION BY f ORDER BY g) - 1)::INT cluster_id FROM cc""")
 def bond_components(spark, d):
     """Components of the bonds alone, numbered from 0 in each frame."""
     e, pts = _edges(spark, d)
