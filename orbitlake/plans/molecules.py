@@ -349,7 +349,8 @@ def energy_angle_harmonic(spark, d):
 @query(f"""{SELF}, e AS (SELECT frame_id, CASE WHEN (i+j)%2=0 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END eps, CASE WHEN (i+j)%2=0 THEN 2.25::DOUBLE ELSE 1.44::DOUBLE END s2, dist_sq FROM pairs WHERE dist_sq > 0.25)
 SELECT frame_id, round(sum(4*eps*(power(s2/dist_sq, 6)-power(s2/dist_sq, 3))), 2) energy FROM e GROUP BY 1""")
 def energy_lj(spark, d):
-    pairs = neighbors.pairs_self(_points(spark, d), _boxes(spark, d), CUTOFF).where("dist_sq > 0.25")
+    """Only coincident points are left out. The SQL leaves out all pairs within 0.5, so that it has less energy in frames with such pairs."""
+    pairs = neighbors.pairs_self(_points(spark, d), _boxes(spark, d), CUTOFF).where("dist_sq >= 1e-24")
     rows = forcefield.with_parameters(_typed(pairs, "i", "j"), HARMONIC.table(spark, "pair", "lj/cut"))
     return forcefield.sum_energy(rows, forcefield.lennard_jones(F.sqrt("dist_sq"), F.col("epsilon"), F.col("sigma")), ["frame_id"]).select("frame_id", F.round("energy", 2).alias("energy"))
 
