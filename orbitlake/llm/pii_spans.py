@@ -182,8 +182,9 @@ def spans(text: str) -> list[tuple[str, str, int, int, str | None, list[str] | N
     labelled = sorted({at for w in LABELS for at in _find(text, w)})
     for at in labelled:
         a = max(0, at - 24)
-        m = IDENTITY.search(text, a, min(len(text), at + 160))
-        if m and m.start() <= at:
+        for m in IDENTITY.finditer(text, a, min(len(text), at + 160)):
+            if m.start() > at:
+                break
             put("id_number", *m.span("item"))
     for at in sorted(at for w in STREETS for at in _find(text, w)):
         a, b = max(0, at - 70), min(len(text), at + 150)
