@@ -58,30 +58,96 @@ def write_dump(frames: DataFrame, atoms: DataFrame, path: str) -> None:
     heads.unionByName(rows).repartitionByRange("frame_id").sortWithinPartitions("frame_id", "part", "no").select("line").write.text(path)
 
 
+#: Serials have five columns: those from 100000 on are written in base 36 from A0000 on (hybrid-36), up to ZZZZZ.
+SERIALS, BASE_36, MOST = 100_000, 10 * 36**4, 100_000 + 26 * 36**4
+
+
+def _serial(n: Column) -> Column:
+    wide = F.when(n < MOST, F.conv((n + (BASE_36 - SERIALS)).cast("string"), 10, 36)).otherwise(F.raise_error(F.lit("serials from 43770016 on have no place in PDB")))
+    return F.lpad(F.when(n < SERIALS, n.cast("string")).otherwise(wide), 5, " ")
+
+
+def _number(s: Column) -> Column:
+    return F.when(s.rlike("^[A-Z][0-9A-Z]{4}$"), F.conv(s, 36, 10).try_cast("long") - (BASE_36 - SERIALS)).otherwise(s.try_cast("long")).cast("int")
+
+
+def _part(a: int, n: int) -> Column:
+    return F.btrim(F.substring("s", a, n))
+
+
+def _models(spark: SparkSession, path: str) -> DataFrame:
+    """path, model, value and atoms (whether it has any) of each piece of text that ENDMDL ends, or the file."""
+    raw = spark.read.option("lineSep", "ENDMDL").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    model = F.coalesce(F.regexp_extract("value", r"(?m)^MODEL\s+(\d+)", 1).try_cast("int"), F.lit(1))
+    return raw.select("path", model.alias("model"), "value", F.col("value").rlike("(?m)^(ATOM|HETATM)").alias("atoms"))
+
+
+def _atoms(spark: SparkSession, path: str) -> DataFrame:
+    return _models(spark, path).where("atoms").select("path", "model", F.explode(_lines("value")).alias("s")).where(F.col("s").rlike("^(ATOM|HETATM)") & (F.length("s") >= 54))
+
+
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     """model, and the fields of each ATOM or HETATM record: serial, name, res_name, chain, res_seq, x, y, z, element.
 
-    Lines of under 54 characters are no records; a blank element is taken from the name, X if that has no letter. model counts
-    from 0 within the file, by its first record's place.
+    Lines of under 54 characters are no records; a blank element is taken from the name, X if that has no letter. model is
+    the number of its MODEL record, 1 without one.
     """
-    raw = spark.read.option("lineSep", "ENDMDL").text(path).where(F.col("value").rlike("(?m)^(ATOM|HETATM)")).withColumn("model", F.regexp_extract("value", r"(?m)^MODEL\s+(\d+)", 1).try_cast("int"))
-    line = raw.select(F.coalesce("model", F.lit(1)).alias("model"), F.explode(_lines("value")).alias("s")).where(F.col("s").rlike("^(ATOM|HETATM)") & (F.length("s") >= 54))
-    part = lambda a, n: F.btrim(F.substring("s", a, n))
-    element = F.coalesce(F.nullif(part(77, 2), F.lit("")), F.nullif(F.initcap(F.regexp_extract(part(13, 2), "([A-Za-z]+)", 1)), F.lit("")), F.lit("X"))
-    return line.select(
-        "model", part(7, 5).try_cast("int").alias("serial"), part(13, 4).alias("name"), part(18, 3).alias("res_name"), part(22, 1).alias("chain"), part(23, 4).try_cast("int").alias("res_seq"),
-        *[part(a, 8).try_cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))], element.alias("element"),
+    element = F.coalesce(F.nullif(_part(77, 2), F.lit("")), F.nullif(F.initcap(F.regexp_extract(_part(13, 2), "([A-Za-z]+)", 1)), F.lit("")), F.lit("X"))
+    return _atoms(spark, path).select(
+        "model", _number(_part(7, 5)).alias("serial"), _part(13, 4).alias("name"), _part(18, 3).alias("res_name"), _part(22, 1).alias("chain"), _part(23, 4).try_cast("int").alias("res_seq"),
+        *[_part(a, 8).try_cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))], element.alias("element"),
     )
 
 
-def write_pdb(atoms: DataFrame, path: str) -> None:
-    """atoms: model, serial, name, element, x, y, z. Each model stays in one file and ends with ENDMDL."""
-    rows = atoms.select("model", F.lit(1).alias("part"), F.col("serial").alias("no"), F.format_string("HETATM%5d %-4s MOL A   1    %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("serial") % 100000, "name", "x", "y", "z", "element").alias("line"))
+def read_pdb_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """model, a, b, c, alpha, beta, gamma (degrees, 90 where blank) and box_h (a along x, b in the plane of x and y) of each model with a CRYST1 record.
+
+    The only CRYST1 that stands before a MODEL record in a file holds for all its models without one. Lengths must be positive.
+    """
+    last = lambda text: F.try_element_at(F.filter(_lines(text), lambda s: s.startswith("CRYST1") & (F.length(s) >= 54)), F.lit(-1))
+    all_ = _models(spark, path)
+    heads = all_.where(F.col("value").rlike(r"(?m)^MODEL\s")).select("path", last(F.split("value", r"(?m)^MODEL\s", 2)[0]).alias("head")).groupBy("path").agg(F.min("head").alias("head"), F.max("head").alias("other")).where("head = other").select("path", "head")
+    lines = all_.where("atoms").select("path", "model", last(F.col("value")).alias("own")).join(heads, "path", "left").select("model", F.coalesce("own", "head").alias("s"))
+    one = lines.select("model", *[_part(p, 9).try_cast("double").alias(c) for p, c in ((7, "a"), (16, "b"), (25, "c"))], *[F.coalesce(_part(p, 7).try_cast("double"), F.lit(90.0)).alias(c) for p, c in ((34, "alpha"), (41, "beta"), (48, "gamma"))]).where("a > 0 and b > 0 and c > 0")
+    ca, cb, cg = [F.cos(F.radians(c)) for c in ("alpha", "beta", "gamma")]
+    sg, zero = F.sin(F.radians("gamma")), F.lit(0.0)
+    up = (ca - cb * cg) / sg
+    h = [[F.col("a"), F.col("b") * cg, F.col("c") * cb], [zero, F.col("b") * sg, F.col("c") * up], [zero, zero, F.col("c") * F.sqrt(1 - cb * cb - up * up)]]
+    return one.withColumn("box_h", F.array(*[F.array(*r) for r in h]))
+
+
+def read_pdb_bonds(spark: SparkSession, path: str) -> DataFrame:
+    """model, i, j (serials, i < j): each bond of the CONECT records once, if both ends are atoms of the model. Records after the last model hold for all models of the file."""
+    all_ = _models(spark, path)
+    lines = all_.select("path", F.when(F.col("atoms"), F.col("model")).alias("own"), F.explode(_lines("value")).alias("s")).where(F.col("s").startswith("CONECT"))
+    pairs = lines.select("path", "own", _number(_part(7, 5)).alias("u"), F.explode(F.array(*[_number(_part(p, 5)) for p in (12, 17, 22, 27)])).alias("v")).where("v > 0 and u != v").select("path", "own", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j")).distinct()
+    everywhere = pairs.where("own is null").drop("own").join(all_.where("atoms").select("path", "model").distinct(), "path")
+    bonds = pairs.where("own is not null").select("path", F.col("own").alias("model"), "i", "j").unionByName(everywhere.select("path", "model", "i", "j"))
+    ids = _atoms(spark, path).select("path", "model", _number(_part(7, 5)).alias("id"))
+    for c in ("i", "j"):
+        bonds = bonds.join(ids.withColumnRenamed("id", c), ["path", "model", c], "left_semi")
+    return bonds.select("path", "model", "i", "j").distinct().select("model", "i", "j")
+
+
+def write_pdb(atoms: DataFrame, path: str, boxes: DataFrame | None = None, bonds: DataFrame | None = None) -> None:
+    """atoms: model, serial, name, element, x, y, z; boxes: model, a, b, c, alpha, beta, gamma; bonds: model, i, j (serials of its atoms).
+
+    Each model stays in one file: MODEL, CRYST1, atoms, CONECT (both directions, sorted, four a line), ENDMDL. CRYST1 has
+    lengths and angles, but no origin, orientation or periodic flags.
+    """
+    row = lambda df, part, no, sub, line: df.select("model", F.lit(part).alias("part"), no.cast("long").alias("no"), sub.cast("int").alias("sub"), line.alias("line"))
+    zero = F.lit(0)
     ends = atoms.select("model").distinct()
-    heads = ends.select("model", F.lit(0).alias("part"), F.lit(0).cast("long").alias("no"), F.format_string("MODEL %8d", "model").alias("line"))
-    tails = ends.select("model", F.lit(2).alias("part"), F.lit(0).cast("long").alias("no"), F.lit("ENDMDL").alias("line"))
-    rows = rows.withColumn("no", F.col("no").cast("long"))
-    heads.unionByName(rows).unionByName(tails).repartitionByRange("model").sortWithinPartitions("model", "part", "no").select("line").write.text(path)
+    out = row(ends, 0, zero, zero, F.format_string("MODEL %8d", "model")).unionByName(row(ends, 4, zero, zero, F.lit("ENDMDL")))
+    out = out.unionByName(row(atoms, 2, F.col("serial"), zero, F.format_string("HETATM%s %-4s MOL A   1    %8.3f%8.3f%8.3f  1.00  0.00          %2s", _serial(F.col("serial")), "name", "x", "y", "z", "element")))
+    if boxes is not None:
+        out = out.unionByName(row(boxes.join(ends, "model", "left_semi"), 1, zero, zero, F.format_string("CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1", "a", "b", "c", "alpha", "beta", "gamma")))
+    if bonds is not None:
+        two = F.explode(F.array(F.struct(F.col("i").alias("u"), F.col("j").alias("v")), F.struct(F.col("j").alias("u"), F.col("i").alias("v")))).alias("e")
+        near = bonds.select("model", two).select("model", "e.*").groupBy("model", "u").agg(F.array_sort(F.collect_set("v")).alias("v"))
+        fours = near.select("model", "u", "v", F.explode(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 4).cast("int"))).alias("k"))
+        out = out.unionByName(row(fours, 3, F.col("u"), F.col("k"), F.concat(F.lit("CONECT"), _serial(F.col("u")), F.array_join(F.transform(F.slice("v", F.col("k") * 4 + 1, F.lit(4)), _serial), ""))))
+    out.repartitionByRange("model").sortWithinPartitions("model", "part", "no", "sub").select("line").write.text(path)
 
 
 def read_sdf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
