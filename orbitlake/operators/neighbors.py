@@ -28,7 +28,9 @@ def located(pts: DataFrame, boxes: DataFrame, cutoff: float) -> DataFrame:
     out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in free.items()})
     out = out.withColumns({f"n{k + 1}": F.greatest(F.lit(1), F.floor(d / cutoff)).cast("int") for k, d in enumerate(B.plane_distances())})
     out = out.withColumns({f"f{k + 1}": f for k, f in enumerate(B.fractional(F.col("x"), F.col("y"), F.col("z")))})
-    cell = [F.floor((F.when(F.col(f"p{k}"), F.col(f"f{k}") - F.floor(F.col(f"f{k}"))).otherwise(F.col(f"f{k}"))) * F.col(f"n{k}")).cast("int") for k in (1, 2, 3)]
+    # On free axes points lie outside the box too, so that the cells of a box narrower than the cutoff are wider than it.
+    free_n = [F.least(F.col(f"n{k + 1}").cast("double"), d / cutoff) for k, d in enumerate(B.plane_distances())]
+    cell = [F.floor(F.when(F.col(f"p{k}"), (F.col(f"f{k}") - F.floor(F.col(f"f{k}"))) * F.col(f"n{k}")).otherwise(F.col(f"f{k}") * free_n[k - 1])).cast("int") for k in (1, 2, 3)]
     return out.withColumns({f"c{k}": F.when(F.col(f"p{k}"), F.pmod(cell[k - 1], F.col(f"n{k}"))).otherwise(cell[k - 1]) for k in (1, 2, 3)})
 
 
