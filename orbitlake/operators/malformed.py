@@ -1,8 +1,8 @@
 """Problem 5: rows that fail to parse.
 
-Structure (quoting, number of columns) is checked on each line. The fields of well-built lines are then checked by value:
-each distinct value of a kind of field is cast once, the invalid ones make a dictionary with their reasons, and the
-dictionary is joined back to the fields.
+Structure (quoting, number of columns) is checked once on each line and written with the fields. The fields of
+well-built lines are then checked by value: each distinct value of a kind of field is cast once, the invalid ones make a
+dictionary with their reasons, and the dictionary is joined back to the fields.
 """
 
 from __future__ import annotations
@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WHOLE = r"^\+?[0-9]+$"
-DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-INTEGER = r"^[+-]?[0-9]+$"
-LABEL = r"^[A-Za-z][^ \t\n\r\u000b\f,\"'#]*$"
-FREE_LABEL = r"(?s)^[A-Za-z].*$"
-CSV_SHAPE = r'^(?:[^",]*|[ \t]*"(?:[^"]|"")*"[ \t]*)(?:,(?:[^",]*|[ \t]*"(?:[^"]|"")*"[ \t]*))*$'
-CSV_FIELD = r'(?:^|,)((?:[ \t]*"(?:[^"]|"")*"[ \t]*)|[^",]*)'
+from orbitlake.runtime import HOT_SHARE, Scratch
+
+# Possessive throughout: no pattern goes back, or recurses, on a long value. \z, as $ would allow a line end after the value.
+WHOLE = r"^\+?+[0-9]++\z"
+DECIMAL = r"^[+-]?+(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+\z"
+INTEGER = r"^[+-]?+[0-9]++\z"
+LABEL = r"^[A-Za-z][^ \t\n\r\u000b\f,\"'#]*+\z"
+FREE_LABEL = r"^[A-Za-z]"
+CSV_CELL = r'(?:[ \t]*+"[^"]*+(?:""[^"]*+)*+"[ \t]*+|[^",]*+)'
+CSV_SHAPE = rf"^(?:,{CSV_CELL})++\z"
+CSV_FIELD = rf",({CSV_CELL})"
 
 #: Kinds of fields of each layout, in the order of the columns.
 LAYOUTS: dict[str, list[tuple[str, str]]] = {
@@ -57,14 +61,15 @@ def structure(lines: DataFrame) -> DataFrame:
     has fault ``columns``: no line can follow it.
     """
     line, layout = F.col("line"), F.col("layout")
-    records = lines.where(line.isNotNull() & ~line.rlike(r"^\s*(?:#|$)"))
-    plain = F.regexp_replace(line, r"[\r\n]+$", "")
+    records = lines.where(line.isNotNull() & ~line.rlike(r"^\s*+(?:#|\z)"))
+    plain = F.rtrim(line, F.lit("\r\n"))
     lammps = layout.startswith("lammps_")
-    words = F.filter(F.split(F.regexp_replace(plain, r"(?s)#.*$", ""), r"[ \t]+"), lambda x: x != "")
-    inner = F.transform(F.regexp_extract_all(plain, F.lit(CSV_FIELD), F.lit(1)), lambda x: F.btrim(x, F.lit(" \t")))
+    words = F.filter(F.split(F.substring_index(plain, "#", 1), r"[ \t]+"), lambda x: x != "")
+    commas = F.concat(F.lit(","), plain)
+    inner = F.transform(F.regexp_extract_all(commas, F.lit(CSV_FIELD), F.lit(1)), lambda x: F.btrim(x, F.lit(" \t")))
     cells = F.transform(inner, lambda x: F.when(x.startswith('"'), F.btrim(F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), '""', '"'), F.lit(" \t"))).otherwise(x))
     fixed = {"pdb_atom": [(7, 5), (31, 8), (39, 8), (47, 8)], "sdf_bond": [(1, 3), (4, 3), (7, 3)]}
-    raw = F.when(lammps, words).when(layout == "csv", F.when(plain.rlike(CSV_SHAPE), cells))
+    raw = F.when(lammps, words).when(layout == "csv", F.when(commas.rlike(CSV_SHAPE), cells))
     want, kinds = F.lit(None).cast("int"), None
     for name, cols in LAYOUTS.items():
         spec = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("kind")) for c, k in cols])
@@ -81,28 +86,50 @@ def structure(lines: DataFrame) -> DataFrame:
     named = F.transform(F.slice(F.arrays_zip(F.slice(F.col("raw"), F.lit(1), F.col("want")).alias("v"), kinds.alias("k")), F.lit(1), F.col("want")), lambda s: F.struct(s["k"]["name"].alias("name"), s["k"]["kind"].alias("kind"), s["v"].alias("value")))
     flags = F.transform(F.slice(F.col("raw"), F.col("want") + 1, F.lit(3)), lambda v: F.struct(F.lit("image").alias("name"), F.lit("integer").alias("kind"), v.alias("value")))
     fields = F.when(F.col("fault").isNull(), F.when(n > F.col("want"), F.concat(named, flags)).otherwise(named))
-    return records.withColumn("raw", raw).withColumn("want", want).withColumn("fault", fault_).withColumn("fields", fields).drop("raw", "want")
+    return records.withColumn("raw", raw).withColumn("want", want).withColumn("fault", fault_).withColumn("fields", fields).select("line_id", "file_code", "layout", "fault", "fields")
 
 
-def invalid_values(records: DataFrame) -> DataFrame:
-    """The dictionary: kind, value, why. Each distinct value is cast once."""
-    each = records.where("fault is null").select(F.explode("fields").alias("f")).select("f.kind", "f.value")
-    return each.distinct().withColumn("why", fault(F.col("kind"), F.col("value"))).where("why is not null")
+class Checked:
+    """The lines of one load: the structure of each line, written once, and the dictionary of its invalid values.
 
+    A value that makes up more than HOT_SHARE of all fields, valid or not, is looked up by broadcast, which is bounded by
+    1 / HOT_SHARE values; the others meet the dictionary in a shuffled join.
+    """
 
-def rejects(lines: DataFrame) -> DataFrame:
+    def __init__(self, lines: DataFrame, scratch: Scratch | None = None):
+        self.scratch = scratch or Scratch(lines.sparkSession, "malformed")
+        self.records = self.scratch.put(structure(lines))
+        self.fields = self.records.where("fault is null").select("line_id", F.explode("fields").alias("f")).select("line_id", "f.*")
+        counts = self.fields.groupBy("kind", "value").agg(F.count("*").alias("n")).withColumn("why", fault(F.col("kind"), F.col("value")))
+        total = self.records.agg(F.sum(F.when(F.col("fault").isNull(), F.size("fields")))).first()[0] or 0
+        self.limit = total * HOT_SHARE
+        #: kind, value, n, why: the invalid values, and the hot valid ones, whose why is null.
+        self.values = self.scratch.put(counts.where((F.col("n") > self.limit) | F.col("why").isNotNull()))
+
+    def hits(self) -> DataFrame:
+        """line_id, name, kind, value, why of every invalid field."""
+        hot = F.broadcast(self.values.where(F.col("n") > self.limit).select("kind", "value", F.lit(True).alias("hot"), F.col("why").alias("hot_why")))
+        looked = self.fields.join(hot, ["kind", "value"], "left")
+        rest = looked.where("hot is null").select("line_id", "name", "kind", "value").join(self.values.where((F.col("n") <= self.limit) & F.col("why").isNotNull()).select("kind", "value", "why"), ["kind", "value"])
+        return looked.where("hot_why is not null").select("line_id", "name", "kind", "value", F.col("hot_why").alias("why")).unionByName(rest.select("line_id", "name", "kind", "value", "why"))
+
+    def invalid_values(self) -> DataFrame:
+        """The dictionary: kind, value, n, why."""
+        return self.values.where("why is not null")
+
+
+def rejects(lines: DataFrame | Checked) -> DataFrame:
     """line_id, reason (quoting, columns or value), and the details (field name, value, why) of the records that do not follow their layout."""
-    records = structure(lines).select("line_id", "fault", "fields")
-    fields = records.where("fault is null").select("line_id", F.explode("fields").alias("f")).select("line_id", "f.*")
-    hits = fields.join(invalid_values(records), ["kind", "value"])
-    wrong = hits.groupBy("line_id").agg(F.sort_array(F.collect_set(F.struct("name", "value", "why"))).alias("details")).select("line_id", F.lit("value").alias("reason"), "details")
+    checked = lines if isinstance(lines, Checked) else Checked(lines)
+    wrong = checked.hits().groupBy("line_id").agg(F.sort_array(F.collect_set(F.struct("name", "value", "why"))).alias("details")).select("line_id", F.lit("value").alias("reason"), "details")
     kind = "array<struct<name:string,value:string,why:string>>"
-    return records.where("fault is not null").select("line_id", F.col("fault").alias("reason"), F.lit(None).cast(kind).alias("details")).unionByName(wrong.withColumn("details", F.col("details").cast(kind)))
+    return checked.records.where("fault is not null").select("line_id", F.col("fault").alias("reason"), F.lit(None).cast(kind).alias("details")).unionByName(wrong.withColumn("details", F.col("details").cast(kind)))
 
 
-def typed_rows(lines: DataFrame) -> DataFrame:
+def typed_rows(lines: DataFrame | Checked) -> DataFrame:
     """The valid records: line_id, file_code, layout and their typed columns; columns that a layout lacks, and empty optional fields, are null."""
-    good = structure(lines).where("fault is null").join(rejects(lines).select("line_id"), "line_id", "left_anti")
+    checked = lines if isinstance(lines, Checked) else Checked(lines)
+    good = checked.records.where("fault is null").join(checked.hits().select("line_id").distinct(), "line_id", "left_anti")
     as_map = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["name"] != "image"), lambda f: F.struct(f["name"], F.nullif(f["value"], F.lit("")))))
     out = good.withColumn("_m", as_map)
     return out.select("line_id", "file_code", "layout", *[F.element_at("_m", F.lit(c)).try_cast(t).alias(c) for c, t in TYPED])

@@ -25,3 +25,26 @@ def test_typed(spark):
 
 def test_empty(spark):
     assert rejects(frame(spark, LINES[:1]).limit(0)).count() == 0
+
+
+def test_empty_first_field_counts(spark):
+    lines = [(1, "csv", ",28720,,N.am,,1,2,3", "columns"), (2, "csv", ",1,ab,,1,2,3", "value"), (3, "csv", ",,,,,,", "value"), (4, "csv", ",", "columns"), (5, "csv", '1,,ab,,1,2,"3\n"', "value")]
+    got = {r.line_id: r.reason for r in rejects(frame(spark, lines)).collect()}
+    assert got == {a: r for a, _, _, r in lines}
+
+
+def test_long_fields(spark):
+    long = "y" * 1_000_000
+    digits, quotes = "1" * 1_000_000, '""' * 500_000
+    lines = [(1, "csv", f'1,,"a{long}{quotes}",,1,2,3', None), (2, "csv", f'1,,"a{quotes},,1,2,3', "quoting"), (3, "csv", f"1,,a,,{digits}x,2,3", "value"), (4, "csv", f"1,,a,,{digits},2,3", None), (5, "csv", "," * 1_000_000, "columns")]
+    lines += [(10 + k, name, f"{long} {digits}x", "columns") for k, name in enumerate(("lammps_atomic", "lammps_charge", "lammps_molecular", "lammps_full"))]
+    lines += [(20, "lammps_atomic", f"{digits} {long} {digits}x 1 2", "value"), (21, "pdb_atom", "ATOM  " + long, "value"), (22, "sdf_bond", long, "value"), (23, "lammps_atomic", "1 1 1 2 3" + "\r" * 1_000_000 + "x", "value")]
+    got = {r.line_id: r.reason for r in rejects(frame(spark, lines)).collect()}
+    assert got == {a: r for a, _, _, r in lines if r}
+
+
+def test_one_value_in_most_rows(spark):
+    rows = [(k, "sdf_bond", f"  1  2  {9 if k % 3 else 1}", "value" if k % 3 else None) for k in range(3000)]
+    rows += [(5000 + k, "lammps_atomic", f"{k} 1 1 2 3", None if k else "value") for k in range(2500)]
+    got = {r.line_id: r.reason for r in rejects(frame(spark, rows)).collect()}
+    assert got == {a: r for a, _, _, r in rows if r}
