@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from orbitlake.functions import box as B
 from orbitlake.functions.elements import mass
+from orbitlake.operators.components import components
+from orbitlake.operators.skew import hot_keys, lookup, numbered
 from orbitlake.runtime import Scratch
 
 
@@ -50,16 +52,13 @@ def msd(trajectory: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def clusters(pairs: DataFrame, pts: DataFrame, scratch: Scratch, min_size: int = 1) -> DataFrame:
     """frame_id, id, cluster_id: components of the neighbour graph, numbered from 0 by their lowest atom; -1 in clusters under min_size."""
-    from pyspark.sql import Window
-
-    from orbitlake.operators.components import seed_tree
-
-    roots = seed_tree(pairs.select(F.col("frame_id").alias("scope"), F.col("i").alias("u"), F.col("j").alias("v")), scratch)
+    roots = components(pairs.select(F.col("frame_id").alias("scope"), F.col("i").alias("u"), F.col("j").alias("v")), scratch)
     of = pts.select("frame_id", "id").join(roots.select(F.col("scope").alias("frame_id"), F.col("node").alias("id"), "root"), ["frame_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
     of = scratch.put(of)
     heads = of.groupBy("frame_id", "root").agg(F.min("id").alias("low"), F.count("*").alias("size")).where(F.col("size") >= min_size)
-    heads = heads.withColumn("cluster_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("low")) - 1).select("frame_id", "root", "cluster_id")
-    return of.join(heads, ["frame_id", "root"], "left").select("frame_id", "id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    heads = numbered(heads, "frame_id", ["low"], "cluster_id", scratch).select("frame_id", "root", "cluster_id")
+    hot, _ = hot_keys(of, ["frame_id", "root"], scratch)
+    return lookup(of, heads, ["frame_id", "root"], hot).select("frame_id", "id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
 def relative(pts: DataFrame, groups: list[str], boxes: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Problem 4: consolidating pairwise matches into groups, by seed-tree pruning.
+"""Connected components of neighbour and bond graphs, by alternating stars.
 
-Each round, every vertex connects its neighbourhood to the smallest vertex in it. A vertex that nobody chose as the
-smallest drops out and becomes a child in the propagation forest; the chosen ones go on. At the end the forest is
-walked from the last round to the first, and the seeds' identifiers flow down.
+A large star connects every greater neighbour of a vertex to the least vertex around it, a small star does so with the
+lesser ones. Both keep the components, and end in stars around their least vertices.
 """
 
 from __future__ import annotations
@@ -10,88 +9,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.runtime import HOT_SHARE, Scratch
+from orbitlake.operators.skew import hot_keys, lookup
+from orbitlake.runtime import Scratch
 
-#: Molecules are vertices too; they are numbered above every possible atom id.
-MOLECULE_BASE = 1 << 33
 
+def _star(arcs: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
+    """arcs: scope, u, v, where v is what u sees. The vertex u and what it sees are joined to the least of them."""
+    hot, _ = hot_keys(arcs, ["scope", "u"], scratch)
+    least = arcs.groupBy("scope", "u").agg(F.min("v").alias("low")).select("scope", "u", F.least("u", "low").alias("m"))
+    seen = lookup(arcs, least, ["scope", "u"], hot, "inner")
+    if large:
+        out = seen.where("v > u").select("scope", F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = seen.select("scope", F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v")
+    return out.distinct()
 
-def attach(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Inner join of rows with one value row for each key, ``values.deg`` being the number of rows with that key.
 
-    Both sides grow with the data, so that the join is a shuffled one at every size.
-    Keys with more than HOT_SHARE of all rows, of which there can't be more than 1 / HOT_SHARE, are joined by broadcast.
-    """
-    limit = max(10_000, int(total * HOT_SHARE))
-    hot = values.where(F.col("deg") > limit)
-    if total <= limit or hot.limit(1).count() == 0:
-        return rows.join(values.hint("merge"), keys)
-    hot = F.broadcast(hot)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col("deg") <= limit).hint("merge"), keys))
-
-
-def seed_tree(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
-    """Component seeds of the vertices of edges: scope, node, root, where root is the node its seed tree grows from.
-
-    edges: scope, u, v; links never leave their scope. Direction, repeats and self-links do not matter; rows with a null
-    are no links. A vertex that is a root itself, or has no link, has no row: its root is itself. Every table of a round is
-    written to the shared folder and dropped as soon as the next one stands.
-    """
-    real = edges.where("scope is not null and u is not null and v is not null and u != v").select("scope", "u", "v")
-    both = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
-    graph = scratch.put(real.select("scope", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    forest: list[DataFrame] = []
-    scratch.sweep()
-    n = graph.count()
-    while n:
-        if len(forest) == max_rounds:
-            raise RuntimeError(f"no end after {max_rounds} rounds")
-        arcs = graph.select("scope", both.alias("e")).select("scope", F.col("e.a").alias("u"), F.col("e.b").alias("v"))
-        least = scratch.put(arcs.groupBy("scope", "u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).withColumn("m", F.least("u", "m")))
-        chosen = attach(arcs, least, ["scope", "u"], 2 * n).select("scope", F.col("v").alias("u"), F.col("m").alias("b")).unionAll(least.select("scope", "u", F.col("m").alias("b")))
-        chosen = scratch.put(chosen.distinct())
-        scratch.sweep()
-        nearest = scratch.put(chosen.groupBy("scope", "u").agg(F.min("b").alias("m"), F.count("*").alias("deg"), F.max(F.col("b") == F.col("u")).alias("kept")))
-        forest.append(scratch.put(nearest.where("not kept").select("scope", F.col("u").alias("node"), F.col("m").alias("parent"))))
-        total = chosen.count()
-        next_edges = attach(chosen, nearest.where("deg > 1").select("scope", "u", "m", "deg"), ["scope", "u"], total).where("b != m").select("scope", F.col("m").alias("u"), F.col("b").alias("v"))
-        scratch.drop(graph, least)
-        graph = scratch.put(next_edges.distinct())
-        scratch.drop(chosen, nearest)
-        n = graph.count()
-        scratch.sweep()
-    if not forest:
-        return edges.select("scope", F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
-    labels = forest[-1].select("scope", "node", F.col("parent").alias("root"))
-    for tree in reversed(forest[:-1]):
-        above = labels.select("scope", F.col("node").alias("parent"), F.col("root").alias("_root"))
-        here = tree.join(above.hint("merge"), ["scope", "parent"], "left").select("scope", "node", F.coalesce("_root", "parent").alias("root"))
-        labels = scratch.put(here.unionAll(labels))
-    return labels
-
-
-def atom_groups(atoms: DataFrame, bonds: DataFrame, scratch: Scratch) -> DataFrame:
-    """frame_id, atom_id, group_id: one row for every atom (frame_id, id), group_id being the smallest id in its group.
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
+    """scope, node, root: the least vertex of the component of each vertex that is not the least itself.
 
-    Atoms of one molecule are linked through the molecule, a vertex of its own: no pairs within a molecule are made. An
-    atom whose rows name several molecules links these. Rows with a null frame or id are no atoms.
+    edges: scope, u, v. Direction, repeats and self-links do not matter; rows with a null are no links. A vertex without a
+    row is its own root. The number of rounds grows with the logarithm of the size; max_rounds only guards against endless loops.
     """
-    rows = atoms.where("frame_id is not null and id is not null").select(F.col("frame_id").alias("scope"), F.col("id").cast("long").alias("id"), F.when(F.col("molecule_id") > 0, F.col("molecule_id") + F.lit(MOLECULE_BASE)).alias("mol"))
-    held = rows.groupBy("scope", "id").agg(F.min("mol").alias("mol"), F.max("mol").alias("last"))
-    known = scratch.put(held.select("scope", "id", F.coalesce("mol", "id").alias("vertex"), F.coalesce(F.col("mol") != F.col("last"), F.lit(False)).alias("torn")))
-    scratch.sweep()
-    ends = known.select("scope", "id", "vertex")
-    links = bonds.select(F.col("frame_id").alias("scope"), F.col("atom_i").cast("long").alias("i"), F.col("atom_j").cast("long").alias("j")).where("scope is not null and i is not null and j is not null and i != j")
-    links = links.join(ends.select("scope", F.col("id").alias("i"), F.col("vertex").alias("u")).hint("merge"), ["scope", "i"]).join(ends.select("scope", F.col("id").alias("j"), F.col("vertex").alias("v")).hint("merge"), ["scope", "j"]).select("scope", "u", "v")
-    if known.where("torn").limit(1).count():
-        torn = known.where("torn").select("scope", "id", F.col("vertex").alias("u"))
-        links = links.unionAll(rows.join(torn, ["scope", "id"]).where("mol is not null and mol != u").select("scope", "u", F.col("mol").alias("v")))
-    roots = seed_tree(links, scratch)
-    scratch.sweep()
-    own = scratch.put(known.groupBy("scope", "vertex").agg(F.min("id").alias("low"), F.count("*").alias("size")))
-    rooted = scratch.put(own.join(roots.withColumnRenamed("node", "vertex").hint("merge"), ["scope", "vertex"], "left").withColumn("root", F.coalesce("root", "vertex")))
-    scratch.drop(own)
-    scratch.sweep()
-    lowest = scratch.put(rooted.groupBy("scope", "root").agg(F.min("low").alias("group_id"), F.count("*").alias("deg")))
-    grouped = attach(rooted, lowest, ["scope", "root"], rooted.count()).select("scope", "vertex", "group_id", F.col("size").alias("deg"))
-    return attach(known.select("scope", "id", "vertex"), scratch.put(grouped), ["scope", "vertex"], known.count()).select(F.col("scope").alias("frame_id"), F.col("id").alias("atom_id"), "group_id")
+    real = edges.where("scope is not null and u is not null and v is not null and u != v")
+    graph = scratch.put(real.select("scope", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    for _ in range(max_rounds):
+        both = graph.unionAll(graph.select("scope", F.col("v").alias("u"), F.col("u").alias("v")))
+        wide = scratch.put(_star(both, scratch, True))
+        turned = wide.select("scope", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        after = scratch.put(_star(turned, scratch, False))
+        scratch.drop(graph, wide)
+        graph = after
+        h = F.xxhash64("scope", "u", "v")
+        state = graph.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
+        if state == before:
+            return graph.select("scope", F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+    raise RuntimeError(f"no end after {max_rounds} rounds")

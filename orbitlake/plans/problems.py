@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.operators import components, malformed, references, schema_drift, units
+from orbitlake.operators import malformed, references, schema_drift, units
 from orbitlake.runtime import Scratch, table
 
 
@@ -40,10 +40,6 @@ def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
     return references.orphans_by_month(p3_found(spark, d))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return components.atom_groups(table(spark, d, "atoms"), table(spark, d, "bonds"), Scratch(spark, "groups"))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return malformed.rejects(table(spark, d, "rawlines")).select("line_id", "reason")
 
@@ -58,7 +54,7 @@ def p5_typed(spark: SparkSession, d: str) -> DataFrame:
     return malformed.typed_rows(table(spark, d, "rawlines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_common, p2_found, p2_schema, p2_table, p3_found, p3_by_month, p4_found, p5_found, p5_details, p5_typed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common, p2_found, p2_schema, p2_table, p3_found, p3_by_month, p5_found, p5_details, p5_typed)}
 
 _REFS = " UNION ALL ".join(
     [f"SELECT '{t}' tab, {k} row_id, '{f}' ref_field, frame_id, {f} id, recorded_at t FROM {t}" for t, k, fs in (("bonds", "bond_id", ("atom_i", "atom_j")), ("angles", "angle_id", ("atom_i", "atom_j", "atom_k"))) for f in fs]
@@ -115,9 +111,3 @@ SELECT line_id, reason FROM v WHERE reason IS NOT NULL"""
 
 
 SQL["p5_found"] = _malformed_sql()
-SQL["p4_found"] = """WITH RECURSIVE a AS (SELECT DISTINCT frame_id f, id::BIGINT id FROM atoms WHERE frame_id IS NOT NULL AND id IS NOT NULL),
-mol AS (SELECT frame_id f, id::BIGINT id, min(id::BIGINT) OVER (PARTITION BY frame_id, molecule_id) head FROM atoms WHERE molecule_id > 0 AND frame_id IS NOT NULL AND id IS NOT NULL),
-e AS (SELECT f, id x, head y FROM mol WHERE id <> head UNION SELECT b.frame_id, b.atom_i::BIGINT, b.atom_j::BIGINT FROM bonds b JOIN a p ON p.f = b.frame_id AND p.id = b.atom_i JOIN a q ON q.f = b.frame_id AND q.id = b.atom_j WHERE b.atom_i <> b.atom_j),
-links AS (SELECT f, x, y FROM e UNION SELECT f, y, x FROM e),
-cc(f, id, g) USING KEY (f, id) AS (SELECT f, id, id FROM a UNION SELECT l.f, l.y, min(c.g) FROM cc c JOIN links l ON l.f = c.f AND l.x = c.id JOIN recurring.cc r ON r.f = l.f AND r.id = l.y WHERE c.g < r.g GROUP BY l.f, l.y)
-SELECT f frame_id, id atom_id, g group_id FROM cc"""

@@ -29,34 +29,39 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, which cut the lineage and survive the loss of any executor.
 
     They are compressed and columnar. ``drop`` deletes one as soon as nothing reads it; the rest goes when the session ends.
+    A table is written by one query and then read from its files, so that its shuffle files go as soon as it stands.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
         self._number = 0
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(path)
         self._fs.deleteOnExit(path)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The table as written; by is a column whose values become folders, so that a reader of one value skips the others."""
         self._number += 1
         path = f"{self.root}/{self._number}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path), True)
-
-    def sweep(self) -> None:
-        """Lets Spark remove the shuffle files of finished jobs."""
-        self.spark._jvm.System.gc()

@@ -1,52 +1,56 @@
 import random
 
-from orbitlake.operators.components import atom_groups, seed_tree
+from orbitlake.operators.components import components
+from orbitlake.operators.skew import hot_keys, lookup, numbered
 from orbitlake.runtime import Scratch
 
-ATOMS = "frame_id long, id int, molecule_id int, scope string"
-BONDS = "frame_id long, atom_i int, atom_j int"
+EDGES = "scope long, u long, v long"
 
 
-def brute(atoms, bonds):
-    root = {(f, i): (f, i) for f, i, _, _ in atoms if f is not None and i is not None}
+def brute(edges):
+    root = {}
 
     def find(x):
-        while root[x] != x:
+        while root.setdefault(x, x) != x:
             x = root[x]
         return x
 
-    def join(a, b):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
+    for s, u, v in edges:
+        if None not in (s, u, v):
+            a, b = find((s, u)), find((s, v))
+            root[max(a, b)] = min(a, b)
+    return sorted((s, n, find((s, n))[1]) for s, n in root if find((s, n)) != (s, n))
 
-    first = {}
-    for f, i, m, _ in atoms:
-        if (f, i) in root and m and m > 0:
-            join(first.setdefault((f, m), (f, i)), (f, i))
-    for f, i, j in bonds:
-        if (f, i) in root and (f, j) in root:
-            join((f, i), (f, j))
-    return sorted((f, i, find((f, i))[1]) for f, i in root)
 
+def check(spark, edges):
+    got = components(spark.createDataFrame(edges, EDGES), Scratch(spark, "test"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(edges)
 
-def check(spark, atoms, bonds):
-    got = atom_groups(spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS), Scratch(spark, "test"))
-    assert sorted(tuple(r) for r in got.collect()) == brute(atoms, bonds)
 
+def test_random(spark):
+    rnd = random.Random(5)
+    check(spark, [(s, rnd.randrange(90), rnd.randrange(90)) for s in (1, 2) for _ in range(60)] + [(1, None, 3), (None, 1, 2), (1, 4, 4), (3, 8, 9), (3, 9, 8)])
 
-def test_random_graph(spark):
-    rnd = random.Random(3)
-    atoms = [(f, i, rnd.choice([None, 0, 0, 1, 2, 3]), "x") for f in (1, 2) for i in rnd.sample(range(1, 400), 120)]
-    atoms += [(1, atoms[0][1], 3, "y"), (None, 5, 1, "x"), (1, None, 1, "x"), atoms[3]]
-    bonds = [(f, rnd.randrange(1, 400), rnd.randrange(1, 400)) for f in (1, 2, 3) for _ in range(150)] + [(1, 5, None), (None, 1, 2), (1, 7, 7)]
-    check(spark, atoms, bonds)
 
+def test_chain_star_empty(spark):
+    check(spark, [(1, k, k + 1) for k in range(40)] + [(2, 7, k) for k in range(100, 140)])
+    check(spark, [])
 
-def test_chain_and_star(spark):
-    check(spark, [(1, i, None, "") for i in range(1, 60)] + [(2, i, 1, "") for i in range(1, 60)], [(1, i, i + 1) for i in range(1, 59)] * 2)
 
+def test_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("orbitlake.operators.skew.TASK_ROWS", 10)
+    scratch = Scratch(spark, "test")
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 else id end k", "id v")
+    hot, n = hot_keys(rows, ["k"], scratch)
+    assert n == 3000 and [r.k for r in hot.collect()] == [7]
+    least = rows.groupBy("k").agg({"v": "min"}).withColumnRenamed("min(v)", "low")
+    assert lookup(rows, least, ["k"], hot).where("low is null or k != 7 and low != v or k = 7 and low != 0").count() == 0
+    assert hot_keys(rows.limit(0), ["k"], scratch) == (None, 0)
 
-def test_no_links(spark):
-    check(spark, [(1, 4, None, ""), (1, 2, 0, "")], [])
-    check(spark, [], [])
-    assert seed_tree(spark.createDataFrame([], "scope long, u long, v long"), Scratch(spark, "test")).count() == 0
+
+def test_numbered(spark):
+    rows = spark.range(500).selectExpr("id % 3 g", "1000 - id o")
+    got = {(r.g, r.o): r.n for r in numbered(rows, "g", ["o"], "n", Scratch(spark, "test")).collect()}
+    for g in range(3):
+        at = sorted(o for h, o in got if h == g)
+        assert [got[g, o] for o in at] == list(range(len(at)))

@@ -21,7 +21,7 @@ def test_without_text_package(monkeypatch, spark):
     import __spark_entry__ as e
 
     e = importlib.reload(e)
-    assert "p1_found" in e.queries() and not any(k.startswith(("p6_", "p7_", "p8_")) for k in e.queries())
+    assert "p1_found" in e.queries() and not any(k.startswith(("p4_", "p6_", "p7_", "p8_")) for k in e.queries())
     monkeypatch.undo()
     importlib.reload(e)
 
