@@ -13,11 +13,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return units.not_common(table(spark, d, "gridfields"), table(spark, d, "unitref"))
 
 
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    return units.latest(table(spark, d, "gridfields").select("field_id", "quantity", "unit", "note", "grid_values", "ingested_at"), ["field_id"])
+
+
+def p1_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """How often the mixture is right, and how often it is certain and wrong, where a stated unit is hidden from it."""
+    return units.held_out(_fields(spark, d), table(spark, d, "unitref"), Scratch(spark, "units"))
+
+
 def p1_common(spark: SparkSession, d: str) -> DataFrame:
     """Every field with its samples in the common unit, stated or inferred."""
     ref = table(spark, d, "unitref")
-    fields = units.latest(table(spark, d, "gridfields").select("field_id", "quantity", "unit", "note", "grid_values", "ingested_at"), ["field_id"])
-    return units.to_common(units.assign_units(fields, ref), ref).select("field_id", "quantity", "unit_code", "pow10", "unit_source", "posterior", "uncertain", "common_unit", "common_values")
+    return units.to_common(units.assign_units(_fields(spark, d), ref, Scratch(spark, "units")), ref).select("field_id", "quantity", "unit_code", "pow10", "unit_source", "posterior", "uncertain", "common_unit", "common_values")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +62,7 @@ def p5_typed(spark: SparkSession, d: str) -> DataFrame:
     return malformed.typed_rows(table(spark, d, "rawlines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_common, p2_found, p2_schema, p2_table, p3_found, p3_by_month, p5_found, p5_details, p5_typed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common, p1_holdout, p2_found, p2_schema, p2_table, p3_found, p3_by_month, p5_found, p5_details, p5_typed)}
 
 _REFS = " UNION ALL ".join(
     [f"SELECT '{t}' tab, {k} row_id, '{f}' ref_field, frame_id, {f} id, recorded_at t FROM {t}" for t, k, fs in (("bonds", "bond_id", ("atom_i", "atom_j")), ("angles", "angle_id", ("atom_i", "atom_j", "atom_k"))) for f in fs]
