@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitlake.operators.skew import hot_keys, lookup
 from orbitlake.operators.units import latest
 from orbitlake.runtime import Scratch
 
@@ -17,7 +18,8 @@ LATTICE = ["L", "I", "R", "S"]
 #: Days in a block of a stream's time line; the order inside blocks and between blocks is found apart.
 BLOCK_DAYS = 30
 TRUE, FALSE = ["t", "true", ".true.", "1", "yes"], ["f", "false", ".false.", "0", "no"]
-NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eEdD][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?+(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eEdD][+-]?+[0-9]++)?+\z"
+DIGITS = r"^[+-]?+[0-9]++\z"
 
 
 def previous_files(files: DataFrame) -> DataFrame:
@@ -43,31 +45,43 @@ def header_schemas(specs: DataFrame) -> DataFrame:
     return s.withColumn("first", F.coalesce(F.sum(F.coalesce("m", F.lit(1))).over(before), F.lit(0)).cast("int"))
 
 
+def truth(token: Column) -> Column:
+    return F.when(F.lower(token).isin(TRUE), F.lit(True)).when(F.lower(token).isin(FALSE), F.lit(False))
+
+
+def real(token: Column) -> Column:
+    return F.when(token.rlike(NUMBER), F.regexp_replace(token, "[dD]", "e").try_cast("double"))
+
+
+def whole(token: Column) -> Column:
+    """A token as a whole number: exact if it is written in digits, else through a real number without a fraction that doubles hold exactly."""
+    x = real(token)
+    return F.when(token.rlike(DIGITS), F.ltrim(token, F.lit("+")).try_cast("decimal(38,0)")).when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.try_cast("decimal(38,0)"))
+
+
 def canonical(ty: Column, token: Column) -> Column:
     """A token in one form for each value: numbers for I and R, truth values for L, the text itself for S and whatever can't be read."""
-    number = F.when(token.rlike(NUMBER), F.regexp_replace(token, "[dD]", "e").try_cast("double"))
-    zero = F.when(number == 0.0, F.lit(0.0)).otherwise(number)
-    truth = F.when(F.lower(token).isin(TRUE), "T").when(F.lower(token).isin(FALSE), "F")
-    return F.coalesce(F.when(ty.isin("I", "R"), zero.cast("string")).when(ty == "L", truth), token)
+    x = real(token)
+    number = F.when(x == 0.0, F.lit(0.0)).otherwise(x).cast("string")
+    return F.coalesce(F.when(ty == "I", F.coalesce(whole(token).cast("string"), number)).when(ty == "R", number).when(ty == "L", F.when(truth(token), "T").when(~truth(token), "F")), token)
 
 
-def cells(lines: DataFrame, schemas: DataFrame) -> DataFrame:
-    """file_id, line_no, atom (value of the property id, null if there is none), name, ty, m, value (tokens in canonical form, joined by blanks).
+def _tokens() -> Column:
+    return F.filter(F.split("line", r"\s+"), lambda x: x != "")
 
-    Repeated lines count once. A line that is too short has null where tokens are missing.
-    """
-    header = schemas.groupBy("file_id").agg(F.collect_list(F.struct("name", "ty", "m", "first")).alias("props"))
-    tokens = F.filter(F.split("line", r"\s+"), lambda x: x != "")
-    rows = lines.select("file_id", "line_no", "line").distinct().join(header, "file_id").withColumn("tokens", tokens)
 
-    def read(p: Column) -> Column:
-        part = F.slice(F.col("tokens"), p["first"] + 1, F.greatest(F.coalesce(p["m"], F.lit(1)), F.lit(0)))
-        whole = F.size(part) == F.coalesce(p["m"], F.lit(1))
-        return F.struct(p["name"].alias("name"), p["ty"].alias("ty"), p["m"].alias("m"), F.when(whole, F.array_join(F.transform(part, lambda t: canonical(p["ty"], t)), " ")).alias("value"))
+def _part(p: Column) -> Column:
+    """The tokens of a property in a line, null if the line is too short for all of them."""
+    n = F.greatest(F.coalesce(p["m"], F.lit(1)), F.lit(0))
+    got = F.slice(F.col("tokens"), p["first"] + 1, n)
+    return F.when(F.size(got) == n, got)
 
-    rows = rows.withColumn("read", F.transform("props", read))
-    atom = F.try_element_at(F.filter("read", lambda r: r["name"] == "id"), F.lit(1))["value"]
-    return rows.select("file_id", "line_no", atom.alias("atom"), F.explode("read").alias("r")).select("file_id", "line_no", "atom", "r.*")
+
+def _with_header(lines: DataFrame, headers: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct lines with the one row that headers has for their file; a file with very many lines is not gathered in one task."""
+    rows = lines.select("file_id", "line_no", "line").distinct()
+    hot, _ = hot_keys(rows, ["file_id"], scratch)
+    return lookup(rows, headers, ["file_id"], hot, "inner").withColumn("tokens", _tokens())
 
 
 def changes(files: DataFrame, specs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -75,59 +89,110 @@ def changes(files: DataFrame, specs: DataFrame, lines: DataFrame, scratch: Scrat
 
     A removed and an added property of equal type and size are one renamed property if a digest of their values over the
     atoms that both files hold is equal, and the files share an atom. Of several with equal values, they pair up by name.
-    Each stage that several others read is written once.
+    Lines are read only of files that lost and gained a property of one kind, and of these properties only. Files without
+    the property id share no atoms. Each stage that several others read is written once.
     """
     order = scratch.put(previous_files(files))
     schemas = scratch.put(header_schemas(specs))
-    slim = schemas.groupBy("file_id", "name").agg(F.min(F.struct("spec_no", "ty", "m")).alias("p")).select("file_id", "name", "p.ty", "p.m").where("name is not null")
-    new = order.join(slim, "file_id").select("file_id", "name", F.col("ty").alias("new_ty"), F.col("m").alias("new_m"), F.lit(True).alias("here"))
-    old = order.join(slim.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "name", F.col("ty").alias("old_ty"), F.col("m").alias("old_m"), F.lit(True).alias("there"))
+    slim = schemas.groupBy("file_id", "name").agg(F.min(F.struct("spec_no", "ty", "m", "first")).alias("p")).select("file_id", "name", "p.ty", "p.m", "p.first").where("name is not null")
+    new = order.join(slim, "file_id").select("file_id", "prev_id", "name", F.col("ty").alias("new_ty"), F.col("m").alias("new_m"), F.col("first").alias("new_first"))
+    old = order.join(slim.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", F.col("prev_id").alias("old_prev"), "name", F.col("ty").alias("old_ty"), F.col("m").alias("old_m"), F.col("first").alias("old_first"))
     both = scratch.put(new.join(old, ["file_id", "name"], "full"))
-    same = both.where("here and there")
+    same = both.where("prev_id is not null and old_prev is not null")
     kept = same.where("not (old_ty <=> new_ty)").select("file_id", F.lit("retyped").alias("change_kind"), F.col("name").alias("old_name"), F.col("name").alias("new_name"))
     kept = kept.unionAll(same.where("not (old_m <=> new_m)").select("file_id", F.lit("resized").alias("change_kind"), F.col("name").alias("old_name"), F.col("name").alias("new_name")))
-    gone = both.where("here is null").select("file_id", "name", F.col("old_ty").alias("ty"), F.col("old_m").alias("m"))
-    come = both.where("there is null").select("file_id", "name", F.col("new_ty").alias("ty"), F.col("new_m").alias("m"))
-
-    # Digests are needed only where a file has lost and gained a property of one kind.
-    open_ = gone.join(come.select("file_id", "ty", "m").distinct(), ["file_id", "ty", "m"], "left_semi").join(order, "file_id")
-    fresh = come.join(gone.select("file_id", "ty", "m").distinct(), ["file_id", "ty", "m"], "left_semi").join(order, "file_id")
-    values = scratch.put(cells(lines, schemas).where("atom is not null").groupBy("file_id", "atom", "name").agg(F.min("value").alias("value")))
-    ids = values.where("name = 'id'").select("file_id", "atom")
-    shared = scratch.put(order.join(ids, "file_id").join(ids.withColumnRenamed("file_id", "prev_id"), ["prev_id", "atom"]).select("file_id", "prev_id", "atom"))
-
-    def digests(props: DataFrame, side: str) -> DataFrame:
-        wanted = props.select("file_id", "prev_id", "name", "ty", "m").join(shared, ["file_id", "prev_id"])
-        got = values.withColumnRenamed("file_id", side) if side == "prev_id" else values
-        keyed = wanted.join(got, [side, "atom", "name"], "left").withColumn("h", F.xxhash64("atom", F.coalesce("value", F.lit("\u0000"))))
-        out = keyed.groupBy("file_id", "name", "ty", "m").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("d1"), F.bit_xor(F.xxhash64("h")).alias("d2"))
-        return out.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "ty", "m", "n", "d1", "d2").orderBy("name")))
-
-    pair = ["file_id", "ty", "m", "n", "d1", "d2", "k"]
-    renamed = scratch.put(digests(open_, "prev_id").withColumnRenamed("name", "old_name").join(digests(fresh, "file_id").withColumnRenamed("name", "new_name"), pair).select("file_id", F.lit("renamed").alias("change_kind"), "old_name", "new_name"))
+    gone = both.where("prev_id is null").select("file_id", F.col("old_prev").alias("source"), "name", F.col("old_ty").alias("ty"), F.col("old_m").alias("m"), F.col("old_first").alias("first"))
+    come = both.where("old_prev is null").select("file_id", F.col("file_id").alias("source"), "name", F.col("new_ty").alias("ty"), F.col("new_m").alias("m"), F.col("new_first").alias("first"))
+
+    kind = ["file_id", "ty", "m"]
+    open_ = gone.join(come.select(*kind).distinct(), kind, "left_semi").withColumn("side", F.lit(0)).unionByName(come.join(gone.select(*kind).distinct(), kind, "left_semi").withColumn("side", F.lit(1)))
+    roles = open_.groupBy("source", "file_id", "side").agg(F.collect_list(F.struct("name", "ty", "m", "first")).alias("props"))
+    roles = roles.groupBy("source").agg(F.collect_list(F.struct(F.col("file_id").alias("pair"), "side", "props")).alias("roles"))
+    ids = slim.where("name = 'id'").select(F.col("file_id").alias("source"), F.struct("ty", "m", "first").alias("id"))
+    wanted = scratch.put(roles.join(ids, "source").withColumnRenamed("source", "file_id"))
+    rows = _with_header(lines, wanted, scratch).withColumn("atom", canonical(F.col("id.ty"), F.array_join(_part(F.col("id")), " "))).where("atom is not null")
+    value = lambda p: F.array_join(F.transform(_part(p), lambda t: canonical(p["ty"], t)), " ")
+    each = rows.select("atom", F.explode("roles").alias("r"), "tokens").select("atom", "r.pair", "r.side", F.explode(F.transform("r.props", lambda p: F.struct(p["name"].alias("name"), p["ty"].alias("ty"), p["m"].alias("m"), value(p).alias("value")))).alias("v")).select("pair", "atom", "side", "v.*")
+    # One shuffle by file and atom serves the least value of repeated atoms and the test that both files hold the atom.
+    met = each.repartition("pair", "atom").groupBy("pair", "atom", "side", "name", "ty", "m").agg(F.min("value").alias("value"))
+    over = Window.partitionBy("pair", "atom")
+    met = met.withColumn("shared", (F.min("side").over(over) == 0) & (F.max("side").over(over) == 1)).where("shared").withColumn("h", F.xxhash64("atom", F.coalesce("value", F.lit("\u0000"))))
+    digest = scratch.put(met.groupBy("pair", "side", "name", "ty", "m").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("d1"), F.bit_xor(F.xxhash64("h")).alias("d2")))
+    digest = digest.withColumn("k", F.row_number().over(Window.partitionBy("pair", "side", "ty", "m", "n", "d1", "d2").orderBy("name")))
+    pair = ["pair", "ty", "m", "n", "d1", "d2", "k"]
+    before, after = digest.where("side = 0").select(*pair, F.col("name").alias("old_name")), digest.where("side = 1").select(*pair, F.col("name").alias("new_name"))
+    renamed = scratch.put(before.join(after, pair).select(F.col("pair").alias("file_id"), F.lit("renamed").alias("change_kind"), "old_name", "new_name"))
     gone = gone.select("file_id", F.col("name").alias("old_name")).join(renamed.select("file_id", "old_name"), ["file_id", "old_name"], "left_anti")
     come = come.select("file_id", F.col("name").alias("new_name")).join(renamed.select("file_id", "new_name"), ["file_id", "new_name"], "left_anti")
     out = renamed.unionByName(kept).unionByName(gone.select("file_id", F.lit("removed").alias("change_kind"), "old_name", F.lit("").alias("new_name")))
     return out.unionByName(come.select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_name"), "new_name"))
 
 
-def union_schema(specs: DataFrame) -> DataFrame:
-    """name, ty, m, n_files: the union schema. Types are folded up the lattice, and the largest m holds; a type outside it counts as text."""
+def _folded(schemas: DataFrame) -> DataFrame:
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LATTICE)), F.col("ty")), F.lit(0)), F.lit(len(LATTICE)))
-    folded = header_schemas(specs).where("name is not null").groupBy("name").agg(F.max(rank).alias("r"), F.max("m").alias("m"), F.count_distinct("file_id").alias("n_files"))
+    folded = schemas.where("name is not null").groupBy("name").agg(F.max(rank).alias("r"), F.max("m").alias("m"), F.count_distinct("file_id").alias("n_files"))
     return folded.select("name", F.element_at(F.array(*map(F.lit, LATTICE)), F.col("r").cast("int")).alias("ty"), "m", "n_files")
 
 
-def consistent_table(specs: DataFrame, lines: DataFrame) -> DataFrame:
-    """All lines as one table: file_id, line_no, atom, name, ty (of the union schema), and the values cast to it.
+def union_schema(specs: DataFrame) -> DataFrame:
+    """name, ty, m, n_files: the union schema. Types are folded up the lattice, and the largest m holds; a type outside it counts as text."""
+    return _folded(header_schemas(specs))
 
-    The table is long, as the number of names grows with the files: ``numbers`` holds the values of L (0 and 1), I and R,
-    ``texts`` those of S. A value that can't be cast is null.
-    """
-    target = union_schema(specs).select("name", F.col("ty").alias("union_ty"), F.col("m").alias("union_m"))
-    parts = cells(lines, header_schemas(specs)).join(target, "name").withColumn("parts", F.split("value", " "))
-    number = F.transform("parts", lambda t: F.when(t == "T", 1.0).when(t == "F", 0.0).otherwise(t.try_cast("double")))
-    return parts.select(
-        "file_id", "line_no", "atom", "name", F.col("union_ty").alias("ty"), F.col("union_m").alias("m"),
-        F.when(F.col("union_ty") != "S", number).alias("numbers"), F.when(F.col("union_ty") == "S", F.col("parts")).alias("texts"),
+
+def _cast(p: Column, raw: Column) -> Column:
+    """The tokens of a property as the union type says, from the tokens as written: truths become 0 and 1 among numbers, texts stay as they are."""
+    number = lambda t: F.when(p["ty"] == "L", truth(t).cast("double")).otherwise(real(t))
+    digits = lambda t: F.when(p["ty"] == "L", truth(t).cast("decimal(38,0)")).otherwise(whole(t))
+    return F.struct(
+        F.when(p["union_ty"] == "L", F.transform(raw, truth)).alias("truths"), F.when(p["union_ty"] == "I", F.transform(raw, digits)).alias("wholes"),
+        F.when(p["union_ty"] == "R", F.transform(raw, number)).alias("reals"), F.when(p["union_ty"] == "S", raw).alias("texts"),
     )
+
+
+def _cast_lines(specs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """file_id, line_no, cells: for each property its name, union_ty, union_m, values and failed, the tokens that can't be read."""
+    schemas = scratch.put(header_schemas(specs))
+    # The union type goes to the headers, of which each file has one, and not to the cells, all of which share a few names.
+    target = scratch.put(_folded(schemas).select("name", F.col("ty").alias("union_ty"), F.col("m").alias("union_m")))
+    hot, _ = hot_keys(schemas, ["name"], scratch)
+    typed = lookup(schemas.where("name is not null"), target, ["name"], hot, "inner")
+    headers = typed.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("spec_no", "name", "ty", "m", "first", "union_ty", "union_m"))).alias("props"))
+    rows = _with_header(lines, headers, scratch)
+
+    def read(p: Column) -> Column:
+        raw = _part(p)
+        v = _cast(p, raw)
+        lost = F.when(raw.isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.filter(raw, lambda t: F.when(p["union_ty"] == "L", truth(t).isNull()).when(p["union_ty"] == "I", F.when(p["ty"] == "L", truth(t).isNull()).otherwise(whole(t).isNull())).when(p["union_ty"] == "R", F.when(p["ty"] == "L", truth(t).isNull()).otherwise(real(t).isNull())).otherwise(F.lit(False))))
+        return F.struct(p["name"].alias("name"), p["union_ty"].alias("ty"), p["union_m"].alias("m"), v.alias("v"), lost.alias("failed"))
+
+    return rows.select("file_id", "line_no", F.transform("props", read).alias("cells"))
+
+
+def consistent_table(specs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """All lines as one long table: file_id, line_no, name, ty and m (of the union schema), and the values cast to it.
+
+    truths, wholes (exact up to 38 digits), reals and texts hold the values of L, I, R and S. failed has the tokens that
+    can't be read, whose value is null, or one null if the line is too short for the property. Repeated lines count once.
+    """
+    out = _cast_lines(specs, lines, scratch).select("file_id", "line_no", F.explode("cells").alias("c"))
+    return out.select("file_id", "line_no", "c.name", "c.ty", "c.m", "c.v.*", "c.failed")
+
+
+def wide_table(specs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """All lines as one wide table under the union schema: file_id, line_no, and a column for each property, an array if m is not 1.
+
+    Only the union schema goes to the driver, one row for each name. A name that equals another column without case gets a number after it.
+    """
+    schema = union_schema(specs).orderBy("name").collect()
+    field = {"L": "truths", "I": "wholes", "R": "reals", "S": "texts"}
+    rows = _cast_lines(specs, lines, scratch).withColumn("_m", F.map_from_entries(F.transform(F.filter("cells", lambda c, i: ~F.exists(F.slice("cells", F.lit(1), i), lambda b: b["name"] == c["name"])), lambda c: F.struct(c["name"], c["v"]))))
+    taken, cols = {"file_id", "line_no"}, []
+    for r in schema:
+        name, n = r["name"], 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{r['name']}_{n}"
+        taken.add(name.lower())
+        got = F.try_element_at("_m", F.lit(r["name"]))[field[r["ty"]]]
+        cols.append((F.try_element_at(got, F.lit(1)) if r["m"] == 1 else got).alias(name))
+    return rows.select("file_id", "line_no", *cols)
