@@ -1,66 +1,155 @@
 """Problem 8: personal information inside free text, by information-theoretic sanitisation.
 
-Spans with a shape of their own (mail, phone, identity number, address) are protected entities. For names, and for towns
-that end an address, the corpus decides: each term (a word, or the word before or after) gets the share of the
-information about "this is a person" that it discloses, from its co-occurrence with declared persons over all
-documents. What exceeds the threshold is replaced by a typed placeholder; a context that hardly ever goes with a
-person vetoes it.
+Candidates come from character classes. What the corpus decides on them is how strongly their terms (words, shapes,
+contexts) disclose a protected entity: each term has the log-odds of the entity among its occurrences over those among
+all candidates, from co-occurrence with plainly declared entities (seeds) and, in later rounds, with what they revealed.
+Candidates whose terms together exceed the threshold are replaced by a typed placeholder. Mail and street addresses
+disclose themselves by their form; the towns that end an address, and streets of a kind not known, are told by co-occurrence too.
+
+Equal candidates in equal context count once, so that copies of a text teach nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.pii_spans import spans
+from orbitlake.llm.pii_spans import CUES, spans
+from orbitlake.operators.skew import hot_keys, lookup
 from orbitlake.runtime import Scratch
 
-SPAN = "array<struct<kind:string,item:string,first:int,last:int,longer:string,terms:array<string>,seed:boolean>>"
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: Share of the information about a person from which on a term discloses one.
-DISCLOSURE = 0.5
-#: A context seen so often, and so rarely with a person, that it speaks against one.
-VETO_SEEN, VETO_SHARE = 20, 0.02
+#: Probability of an entity, as its terms disclose it, from which on it is replaced.
+DISCLOSURE = 0.25
+#: A word of context that was expected beside so many entities, and was seen with a tenth of them at most, speaks against one.
+VETO_EXPECTED, VETO_SHARE = 10, 0.1
+#: Weight of the average of all candidates in the share of a term, and the same in the first round: a rare word that was
+#: once declared must not reveal others yet.
+PRIOR, FIRST_PRIOR = 5.0, 20.0
+#: The threshold of the first round, whose entities teach the contexts.
+FIRST_DISCLOSURE = 0.9
+ROUNDS = 3
+#: A word that was expected in so many seeds, and is in none, is no part of a name.
+UNDECLARED = 3
+#: Terms of the candidate itself. They alone count in the first round, when contexts are known from declarations only.
+INNER = ("w", "s", "p")
+KINDS = {"number": ["phone", "id_number"], "name": ["name"]}
+SEP = "\x1f"
+ROW = "grp string, kind string, item string, first int, last int, longer string, terms string, cuts string"
 
 
 def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each span of each document: doc_id, kind, item, first, last, longer, terms, seed. Null and empty texts have none."""
+    """One row for each span of each document: doc_id, grp, kind, item, first, last, longer, terms, cuts. Null and empty texts have none.
+
+    terms are joined by SEP, those of the words first; cuts has first and last of each word, counted from the start of the item.
+    """
+    key = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf(SPAN)
-    def read(text: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "item", "first", "last", "longer", "terms", "seed"), x)) for x in spans(t)] if t else [] for t in text])
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "grp", "kind", "item", "first", "last", "longer", "terms", "cuts"]
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                for grp, kind, item, a, b, longer, terms, words in spans(text):
+                    rows.append((doc, grp, kind, item, a, b, longer, SEP.join([*(f"w:{w.lower()}" for w, _, _ in words), *terms]), " ".join(f"{x - a} {y - a}" for _, x, y in words)))
+            yield pd.DataFrame(rows, columns=names)
 
-    return scratch.put(docs.where("text is not null").select("doc_id", F.explode(read("text")).alias("s")).select("doc_id", "s.*"))
+    return scratch.put(docs.where("text is not null and text != ''").select("doc_id", "text").mapInPandas(read, f"doc_id {key}, {ROW}"))
 
 
-def disclosure(found: DataFrame) -> DataFrame:
-    """term, n, n_person, share (of persons among its occurrences) and information: its part of the information about a person, at most 1.
+def _logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
 
-    The counts cover all candidates of all documents. A term that tells nothing has 0, one that speaks against a person less.
+
+def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """grp, terms, cuts, kind and score of the candidates, by context, whose terms disclose an entity; low and high are the first and last word kept.
+
+    found: the candidates; kind is set on seeds. A seed is disclosed by itself, whatever its terms; it comes with score null.
     """
-    terms = found.where("kind = 'name'").select(F.explode("terms").alias("term"), F.col("seed").cast("int").alias("person"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("person").alias("n_person"))
-    base = found.where("kind = 'name'").agg(F.avg(F.col("seed").cast("double")).alias("a")).select(F.greatest(F.least(F.coalesce("a", F.lit(0.5)), F.lit(0.99)), F.lit(1e-6)).alias("base"))
-    smooth = (F.col("n_person") + F.col("base")) / (F.col("n") + 1)
-    return counts.join(F.broadcast(base)).select("term", "n", "n_person", smooth.alias("share"), (F.log2(smooth / F.col("base")) / F.log2(1 / F.col("base"))).alias("information"))
+    open_ = found.where(F.col("grp").isin(*KINDS))
+    sigs = open_.groupBy("grp", "terms", "cuts").agg(F.max("kind").alias("seed"))
+    sigs = scratch.put(sigs.withColumn("h", F.xxhash64("grp", "terms", "cuts")))
+    each = scratch.put(sigs.select("h", "grp", F.posexplode(F.split("terms", SEP)).alias("at", "text")).select("h", "grp", "at", F.xxhash64("grp", "text").alias("term"), F.substring_index("text", ":", 1).alias("t"), F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$").alias("wordy"), ((F.col("grp") == "name") & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"), F.col("text").rlike(r"^w:\p{L}\.$").alias("initial")))
+    hot, _ = hot_keys(each, ["term"], scratch)
+    kinds = [k for ks in KINDS.values() for k in ks]
+    is_ = {k: F.coalesce((F.col("kind") == k).cast("double"), F.lit(0.0)) for k in kinds}
+    label, judged = scratch.put(sigs.select("h", "grp", F.col("seed").alias("kind"), F.col("seed").isNotNull().alias("seed"))), None
+    for no in range(rounds):
+        prior, least = (PRIOR, DISCLOSURE) if no else (FIRST_PRIOR, FIRST_DISCLOSURE)
+        marked = (each if no else each.where(F.col("t").isin(*INNER))).join(label.drop("grp"), "h")
+        counts = marked.groupBy("term").agg(F.first("grp").alias("g"), F.count("*").alias("n"), F.count_if("seed").alias("n_seed"), *[F.sum(is_[k]).alias(f"n_{k}") for k in kinds]).where("n > 1")
+        base = label.groupBy("grp").agg(*[F.greatest(F.lit(1e-4), F.least(F.lit(0.9), F.avg(is_[k]))).alias(f"b_{k}") for k in kinds], F.avg(F.when(F.col("kind").isNotNull(), F.col("seed").cast("double"))).alias("declared"))
+        counts = scratch.put(counts.join(F.broadcast(base), F.col("g") == F.col("grp")).drop("g", "grp"))
+        met = lookup(marked, counts, ["term"], hot, "inner")
+        odds_of = {}
+        for k in kinds:
+            b = F.col(f"b_{k}")
+            # Without the candidate itself, which would else vouch for itself.
+            share = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col(f"n_{k}") - is_[k] + prior * b) / (F.col("n") - 1 + prior)))
+            odds_of[k] = (_logit(share) - _logit(b), ((F.col("n") - 1) * b >= VETO_EXPECTED) & (share < VETO_SHARE * b))
+        # A word that persons lack, or that goes with persons and yet was never declared one, does not belong to the name.
+        alien = (F.col("t") == "w") & ~F.col("initial") & (odds_of["name"][1] | ((F.col("n_seed") == 0) & (F.col("n_name") * F.col("declared") >= UNDECLARED)))
+        sums = []
+        for k, (lift, against) in odds_of.items():
+            # A mark beside it may speak against a person, but for one only words, forms and places do.
+            sums += [F.sum(F.when(F.col("mark"), F.least(lift, F.lit(0.0))).when(~alien, lift)).alias(f"s_{k}"), F.max(against & F.col("wordy")).alias(f"v_{k}"), F.max(f"b_{k}").alias(f"b_{k}")]
+        scored = met.groupBy("h").agg(F.first("grp").alias("grp"), *sums, F.array_sort(F.collect_set(F.when(alien, F.col("at")))).alias("cut"))
+        odds = {k: F.when(F.col(f"v_{k}"), F.lit(-100.0)).otherwise(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)) + _logit(F.col(f"b_{k}"))) for k in kinds}
+        raw = scratch.put(scored.select("h", "cut", *[(1 / (1 + F.exp(-odds[k]))).alias(f"p_{k}") for k in kinds]).join(label, "h"))
+        # Only some entities are declared: in the first round, what the declared ones score on average is what a sure one scores.
+        sure = raw.agg(*[F.greatest(F.lit(0.05), F.avg(F.when(F.col("kind") == k, F.col(f"p_{k}")))).alias(f"c_{k}") for k in kinds])
+        best = lambda g: F.greatest(*[F.struct(F.least(F.lit(1.0), F.col(f"p_{k}") / (F.lit(1.0) if no else F.coalesce(F.col(f"c_{k}"), F.lit(1.0)))).alias("p"), F.lit(k).alias("k")) for k in KINDS[g]], *[F.lit(None).cast("struct<p:double,k:string>")] * (len(KINDS[g]) == 1))
+        judged = scratch.put(raw.join(F.broadcast(sure)).withColumn("best", F.when(F.col("grp") == "number", best("number")).otherwise(best("name"))).select("h", "cut", F.col("best.k").alias("k"), F.col("best.p").alias("score")))
+        held = sigs.select("h", "grp", "seed").join(judged, "h", "left")
+        label = scratch.put(held.select("h", "grp", F.coalesce("seed", F.when(F.col("score") >= least, F.col("k"))).alias("kind"), F.col("seed").isNotNull().alias("seed")))
+    out = sigs.join(judged, "h", "left").withColumn("told", F.when(F.col("score") >= DISCLOSURE, F.col("k"))).where("seed is not null or told is not null")
+    n_words = F.when(F.col("cuts") == "", 0).otherwise(F.floor(F.size(F.split("cuts", " ")) / 2)).cast("int")
+    kept = F.array_except(F.sequence(F.lit(0), n_words - 1), F.coalesce("cut", F.array().cast("array<int>")))
+    kept = F.when(n_words > 0, kept)
+    out = out.withColumn("kept", kept)
+    return out.where("kept is null or size(kept) > 0").select("h", "grp", "terms", "cuts", F.coalesce("seed", "told").alias("kind"), "told", "score", F.array_min("kept").alias("low"), F.array_max("kept").alias("high"))
 
 
 def accepted(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The spans that are personal information: doc_id, kind, item, first, last, in their final form."""
-    shaped = found.where("kind != 'name' and longer is null").select("doc_id", "kind", "item", "first", "last")
-    open_ = found.where("longer is not null")
-    towns = found.where("kind = 'address'").select(F.regexp_extract(F.coalesce("longer", "item"), r"(?:,\s?|\n|\d{5} )(\p{Lu}[^\d,\n]*?)(?:,? [A-Z]{2}\d* .*)?$", 1).alias("town"), F.col("longer").isNull().alias("sure"))
-    known = towns.where("town != ''").groupBy("town").agg(F.count("*").alias("n"), F.sum(F.col("sure").cast("int")).alias("n_sure")).where("n_sure > 0 or n > 2").select(F.concat(F.lit("t:"), "town").alias("term"))
-    whole = open_.withColumn("term", F.col("terms")[0]).join(known.withColumn("known", F.lit(True)), "term", "left")
-    ended = whole.select("doc_id", "kind", F.when(F.col("known"), F.col("longer")).otherwise(F.col("item")).alias("item"), "first", F.when(F.col("known"), F.col("last")).otherwise(F.col("first") + F.length("item")).alias("last"))
-    scores = scratch.put(disclosure(found))
-    names = found.where("kind = 'name'").select("doc_id", "item", "first", "last", "terms", "seed")
-    weak = names.where("not seed").select("doc_id", "item", "first", "last", F.explode("terms").alias("term"))
-    telling = scores.select("term", ((F.col("information") >= DISCLOSURE) & F.col("term").startswith("w:")).alias("tells"), ((F.col("n") >= VETO_SEEN) & (F.col("share") < VETO_SHARE) & ~F.col("term").startswith("w:")).alias("vetoes")).where("tells or vetoes")
-    judged = weak.join(telling, "term").groupBy("doc_id", "item", "first", "last").agg(F.max("tells").alias("tells"), F.max("vetoes").alias("vetoes")).where("tells and not vetoes")
-    persons = names.where("seed").select("doc_id", "item", "first", "last").unionByName(judged.select("doc_id", "item", "first", "last")).select("doc_id", F.lit("name").alias("kind"), "item", "first", "last")
-    return shaped.unionByName(ended).unionByName(persons)
+    """The spans that are personal information: doc_id, kind, item, first, last, in their final form, and evidence.
+
+    evidence is form (a mail or street address as such), declared (a seed that its terms alone would not disclose) or disclosed.
+    """
+    shaped = found.where("grp = 'form' and longer is null").select("doc_id", "kind", "item", "first", "last", F.lit("form").alias("evidence"))
+    towns = found.where("grp = 'form' and kind = 'address'").select(F.regexp_extract(F.coalesce("longer", "item"), r"(?:,\s?|\n|\d{5} )(\p{Lu}[^\d,\n]*?)(?:,? [A-Z]{2}\d* .*)?$", 1).alias("town"), F.col("longer").isNull().alias("sure"))
+    known = scratch.put(towns.where("town != ''").groupBy("town").agg(F.count("*").alias("n"), F.sum(F.col("sure").cast("int")).alias("n_sure")).where("n_sure > 0").select(F.concat(F.lit("t:"), "town").alias("terms"), F.lit(True).alias("known")))
+    whole = found.where("grp = 'form' and longer is not null").join(known, "terms", "left")
+    ended = whole.select("doc_id", "kind", F.when(F.col("known"), F.col("longer")).otherwise(F.col("item")).alias("item"), "first", F.when(F.col("known"), F.col("last")).otherwise(F.col("first") + F.length("item")).alias("last"), F.lit("form").alias("evidence"))
+    streets = scratch.put(found.where("grp = 'open'").join(known, "terms").select("doc_id", "kind", "item", "first", "last", F.lit("disclosed").alias("evidence")))
+    told = scratch.put(disclosed(found, scratch).drop("grp"))
+    rows = found.where(F.col("grp").isin(*KINDS)).drop("kind").withColumn("h", F.xxhash64("grp", "terms", "cuts"))
+    hot, _ = hot_keys(rows, ["h"], scratch)
+    hits = lookup(rows, told.withColumnRenamed("terms", "_terms").withColumnRenamed("cuts", "_cuts"), ["h"], hot, "inner").where("terms = _terms and cuts = _cuts")
+    at = F.split("cuts", " ")
+    low = F.when(F.col("low") > 0, F.element_at(at, 2 * F.col("low") + 1).cast("int")).otherwise(F.lit(0))
+    high = F.when(F.col("high").isNotNull(), F.element_at(at, 2 * F.col("high") + 2).cast("int")).otherwise(F.length("item"))
+    # The last word of a name takes what follows it in the item, the dot of an initial for one.
+    whole_ = F.col("high").isNotNull() & (2 * F.col("high") + 2 == F.size(at))
+    high = F.when(whole_, F.length("item")).otherwise(high)
+    evidence = F.when(F.col("told") == F.col("kind"), "disclosed").otherwise("declared")
+    hits = hits.select("doc_id", "kind", F.col("item").substr(low + 1, high - low).alias("item"), (F.col("first") + low).alias("first"), (F.col("first") + high).alias("last"), evidence.alias("evidence"))
+    hits = hits.where((F.length("item") > 2) & ~F.col("item").isin(sorted(CUES)))
+    inner = streets.select("doc_id", F.col("first").alias("_a"), F.col("last").alias("_b"))
+    hits = hits.join(inner, (hits["doc_id"] == inner["doc_id"]) & (F.col("first") < F.col("_b")) & (F.col("last") > F.col("_a")), "left_anti")
+    return shaped.unionByName(ended).unionByName(streets).unionByName(hits)
+
+
+def held_out(docs: DataFrame, scratch: Scratch, every: int = 5) -> DataFrame:
+    """kind, n_hidden, n_found: seeds of one document in ``every``, by hash of its id, that the terms disclose though nobody declares them there."""
+    found = candidates(docs, scratch)
+    hide = (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & F.col("grp").isin(*KINDS) & F.col("kind").isNotNull()
+    truth = found.where(hide).select("doc_id", "first", "last", F.col("kind").alias("true_kind"))
+    got = accepted(found.withColumn("kind", F.when(~hide, F.col("kind")).otherwise(F.when(F.lit(False), F.col("kind")))), scratch).select("doc_id", F.col("first").alias("_a"), F.col("last").alias("_b"), "kind")
+    met = truth.join(got, "doc_id").where("kind = true_kind and _a < last and _b > first").select("doc_id", "first").distinct().withColumn("met", F.lit(1))
+    return truth.join(met, ["doc_id", "first"], "left").groupBy(F.col("true_kind").alias("kind")).agg(F.count("*").alias("n_hidden"), F.count("met").alias("n_found"))
 
 
 def sanitise(docs: DataFrame, scratch: Scratch) -> DataFrame:

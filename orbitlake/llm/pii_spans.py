@@ -1,7 +1,8 @@
 """Spans of one text that are, or may be, personal information.
 
-E-mail addresses, phone numbers, identity numbers and addresses have a shape; names have none, so that they come out as
-candidates with the terms (words and context) by which the corpus decides on them.
+E-mail and street addresses have a form of their own. Numbers and names have none: every run of digits with the length
+of a phone or identity number, and every run of capitalised words, comes out as a candidate with the terms (words,
+shape, context) by which the corpus decides on it. A few plainly declared ones are seeds.
 """
 
 from __future__ import annotations
@@ -48,56 +49,38 @@ ADDRESS = re.compile(
     rf"|(?:Calle|C/|Plaza|Camino|Avenida|Avda?\.|Paseo|Ronda|Travesía|Callejón){S}[^,\n;]{{2,40}}?,?{S}(?:n\.?º{S}?)?\d+[a-z]?(?:,{S}[^,\n;]{{1,16}})?,?(?:{S}|\n)\d{{5}}{S}(?P<town4>{_TOWN})(?P<more4>{S}{_MORE})?)"
 )
 
-#: Words before and after a name that declare a person; {name} stands between "X:" and its end for labels.
-BEFORE = (
-    "Thanks to", "go to", "According to", "according to", "As", "ask", "Call", "Prepared for", "account of", "bitte an", "Écrivez à", "écrivez à", "Escriba a", "escriba a", "Steuer-ID von", "DNI de", "sécurité sociale de",
-    "Dear", "Hello", "Hi", "Hallo", "Liebe", "Lieber", "Bonjour", "Cher", "Chère", "Hola", "Estimado", "Estimada", "written by", "maintained by", "signed by", "Contact:", "User record:", "Kontakt:", "Contacto:", "Name:", "Nom:", "Nombre:", "From:", "Author:", "Owner:",
-)
-AFTER = ("said", "wrote", "prepared the", "hat den", "a relancé", "reinició", "asked", "suggested", "noted")
-SIGN = (
-    "Cheers", "Best", "Best regards", "Best wishes", "Regards", "regards", "Thanks", "Gruß", "Viele Grüße", "Beste Grüße", "Liebe Grüße", "Grüße", "MfG", "Danke", "Cordialement", "Amicalement", "Bien à vous", "Merci",
-    "Atentamente", "Saludos", "Saludos cordiales", "Un saludo", "Gracias", "Sincerely", "—", "–", "--",
-)
-TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Herrn", "Frau", "Sr", "Sra", "Mme", "Mlle", "Señor", "Señora", "Monsieur", "Madame")
-LABELS = ("assport", "adge", "SSN", "ocial security", "ational ID", "Steuer-ID", "Ausweis", "ersonal", "Sozialvers", "DNI", "NIF", "asaporte", "úmero de", "sécurité sociale", "atricule", "arte d'identité", "asseport", "taff ", "mployee ", "tax ID", "ID card", "icence", "icense")
+#: The seeds, all that is told beforehand: words before a person, labels of persons, phones and identity numbers, closings of letters.
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Herrn", "Frau", "Sr", "Sra", "Mme", "Mlle", "Señor", "Señora", "Don", "Doña", "Monsieur", "Madame")
+GREETINGS = ("Dear", "Hello", "Hi", "Hallo", "Liebe", "Lieber", "Bonjour", "Cher", "Chère", "Hola", "Estimado", "Estimada")
+LABELS = ("Name:", "Nom:", "Nombre:", "From:", "Author:", "Contact:", "Kontakt:", "Contacto:")
+CLOSINGS = {
+    "Cheers", "Best", "Best regards", "Best wishes", "Kind regards", "Regards", "Thanks", "Sincerely", "Gruß", "Grüße", "Viele Grüße", "Beste Grüße", "Liebe Grüße", "MfG", "Danke", "Cordialement", "Amicalement", "Bien à vous", "Merci",
+    "Atentamente", "Saludos", "Saludos cordiales", "Un saludo", "Gracias", "—", "–", "--",
+}
+PHONE_LABEL = re.compile(r"(?i)(?<!\w)(?:phone|telephone|tel|mobile|cell|fax|call|telefon|telefonisch|handy|téléphone|portable|télécopie|teléfono|móvil)(?!\w)")
+ID_LABELLED = re.compile(rf"(?i:(?<!\w){ID_LABEL})")
 STREETS = (
     " Street", " St.", " Road", " Rd.", " Lane", " Ln.", " Court", " Ct.", " Crescent", " Cres.", " Close", " Way", " Terrace", " Avenue", " Ave.", " Boulevard", " Blvd", " Drive", " Dr.", " Place", " Square", " Sq.",
     "straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ufer ", "damm ", "ring ", "Straße ", "Str. ", "Weg ", "Platz ", "Allee ",
     "rue ", "avenue ", "place ", "quai ", "impasse ", "chemin ", "boulevard ", "allée ", "cours ", "square ", "passage ", "Calle ", "C/ ", "Plaza ", "Camino ", "Avenida ", "Avda", "Paseo ", "Ronda ", "Travesía ", "Callejón ",
 )
-_NAME = re.compile(NAME)
-_TURNED = re.compile(TURNED)
-_TITLES = re.compile(rf"(?:{TITLE})*")
-_BACK = re.compile(rf"(?<![\w-])(?:{TITLE})*(?P<n>{NAME}){S}\Z")
-_DOTTED = re.compile(rf"(?<![\w.-])[{U}]\.(?={S}?[{U}])")
-_FULL = re.compile(rf"(?:{INITIAL}{S}?)+(?:{PARTICLE}{S})?{WORD}")
-_MIDDLE = re.compile(rf"(?<![\w-])(?P<n>{WORD}(?:{S}{INITIAL})+{S}(?:{PARTICLE}{S})?{WORD})")
-_REPORTED = re.compile(rf"(?P<n>{ANYCASE})(?=,)")
-_SIGNED = re.compile(rf",?(?:{S}|{S}*\n+){S}?(?:{TITLE})*(?P<n>{NAME})(?={S}*(?:\n|\Z)|{S}[{U}])")
-LOOSE = re.compile(rf"(?<=[^\W\d_,(]{S}){WORD}(?:{S}{INITIAL})*(?:{S}(?:{PARTICLE}{S})?{WORD}){{0,2}}")
-METHOD = re.compile(rf"(?:{H}|–|{S})(?:thermostat|barostat|mixing|parameters|Thermostat|Barostat|test case|engine|builder|algorithm|method|integrator|potential|model|summation|release|Street|Lane|Road)\b")
-METHOD_LEFT = re.compile(r"(?i)(?:(?:thermostat|termostato|barostat|barostato)(?: (?:de|von|van der|van))?|méthode de|método de|version|engine|with|mit|avec|con) $")
-LINE_NAME = re.compile(rf"{S}*(?:{TITLE})*(?P<n>{NAME}){S}*$")
-_CHUNK = re.compile(rf"[+(]?\d[\d().\-/+\u2010\u2011{BLANKS}]{{5,}}\d")
-#: Words that start sentences, so that they end a name or a town before them.
-STARTERS = set(
-    "The This That These Those A An In On At For From With Without When Where Why Who What Which Is Are Was Were Does Do Did Has Have Had Will Would Can Could May Please See Note We I You He She It They My Our Your "
-    "Run Rank Step Frame Frames Sample Type Bond Angles Hydrogens Solvent Order Columns Copy Convert Mark Every Setting Reading Writing Restarting Increasing Averages After Before Here Principal Call Contact Reply Reply-To Cc National User Prepared Reported Thanks Questions According As Ship "
-    "Die Der Das Den Dem Ein Eine Im Mit Nach Bitte Warum Welche Schritt Temperatur Rückfragen Meine Telefonisch Steuer Le La Les Un Une Nous Avec Mon Écrivez Avez El Los Las Una Con En Al Mi Simulamos Faltan Envíe Escriba Rose June Has Best Cheers Gruß Atentamente PDB Does DNI".split()
-)
 
-
-def _trim(name: str) -> str:
-    """A name without the sentence that runs on after it."""
-    if "," in name:
-        return name
-    words = re.split(rf"({S}+)", name)
-    keep = 1
-    for n in range(2, len(words), 2):
-        if words[n] in STARTERS:
-            break
-        keep = n + 1
-    return "".join(words[:keep])
+_STREET = re.compile("|".join(re.escape(x) for x in sorted(STREETS, key=len, reverse=True)))
+#: House number, capitalised words, and a town: whether this is an address is for the corpus to say.
+OPEN_ADDRESS = re.compile(rf"(?<![\w.])(?:{_UNIT},{S})?\d+[a-z]?{S}(?:{_CAPS}{S}){{1,3}}[{U}][^\W\d_]+(?:,{S}{_UNIT})?(?:,{S}?|,?\n)(?P<town>{_TOWN}(?:{S}{_MORE})?)(?P<post>{_POST})?")
+_CUES = "|".join((*TITLES, *GREETINGS))
+CUES = {*TITLES, *GREETINGS}
+_CUT = re.compile(rf"(?<![^\W_])(?:{_CUES})\.?{S}")
+SEQUENCE = re.compile(rf"(?<![\w@.])(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)")
+_TURNED = re.compile(TURNED)
+_LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
+_WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
+_DOTTED = re.compile(r"(?:[\[({ ]|\A)(?:dot|DOT|Dot)[\])} ]")
+_MARKS = {",", ";", ":", "<", "("}
+_DIGITS = re.compile(rf"\d(?:[{BLANKS}.\-‐‑/()]{{0,3}}\d){{5}}")
+_AFTER_BY = re.compile(rf"(?<!\w)(?i:(?:reported|written|signed|sent|approved) by){S}(?:{_CUT.pattern})*(?P<n>[^\W\d_][^\W\d_.'’-]*(?:[.'’-]?{S}?[^\W\d_]+){{0,4}})(?=,)")
+_LEFT = re.compile(r"(?:[\w'’-]+|[^\w\s])")
+_NUMBER = re.compile(rf"(?:{PHONE.pattern})|(?<![\w.+/@-])(?P<id>{ID})(?![\w]|[.\-]\d)")
 
 
 def _town(m: re.Match) -> tuple[str, str | None, str | None]:
@@ -107,17 +90,13 @@ def _town(m: re.Match) -> tuple[str, str | None, str | None]:
             more = m["more" + k]
             if more is None or (k == "" and m["post"]):
                 return m.group(), None, None
+            if m.string[m.end("more" + k) : m.end("more" + k) + 1] in ("", "\n", ".", ",", ";", ")"):
+                return m.string[m.start() : m.end("more" + k)], None, None
             short = m.string[m.start() : m.end("town" + k)]
-            if more.strip() in STARTERS:
-                return short, None, None
             return short, m.string[m.start() : m.end("more" + k)], m["town" + k] + more
     return m.group(), None, None
 
 
-#: Of these, the ones that are given names too.
-GIVEN = {"June", "Rose", "Will", "Mark"}
-
-
 class _Taken:
     """Disjoint intervals."""
 
@@ -139,23 +118,32 @@ class _Taken:
         self.ends.insert(k, b)
 
 
-def _all(text: str, words: tuple[str, ...]) -> list[int]:
-    """Ends of all occurrences of the words that a letter neither precedes nor follows."""
-    out = []
-    for w in words:
-        n, at = len(w), text.find(w)
-        while at >= 0:
-            if not (at and text[at - 1].isalnum()) and not text[at + n : at + n + 1].isalnum():
-                out.append(at + n)
-            at = text.find(w, at + n)
-    return out
+def _shape(item: str) -> str:
+    """The form of a number: digits as 9, letters as A, and its separators."""
+    return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(rf"[{BLANKS}]", " ", re.sub(r"[\u2010\u2011]", "-", item))))
+
+
+def _left(text: str, a: int) -> tuple[str, bool]:
+    """What stands before a span on its line, as far as it matters, and whether the span starts the line."""
+    left = text[max(0, a - 48) : a]
+    cut = left.rfind("\n")
+    return left[cut + 1 :], (cut >= 0 or a <= 48) and not left[cut + 1 :].strip()
+
+
+def _context(text: str, words: list[str], b: int) -> list[str]:
+    """The two words before a span, the last of them alone, and the word or mark after it; ^ and $ are the ends of a line."""
+    words = [re.sub(r"\d", "9", w.lower()) for w in words[-2:]] or ["^"]
+    after = text[b : b + 1]
+    if after and after in BLANKS:
+        after = (text[b + 1 : b + 25].lower().split() or "$")[0].rstrip(",.;:!?")
+    return [f"l2:{' '.join(words)}", f"l1:{words[-1]}", f"r1:{after if after and after != chr(10) else '$'}"]
 
 
-def spans(text: str) -> list[tuple[str, str, int, int, str | None, list[str] | None, bool]]:
-    """(kind, item, start, end, longer, terms, seed), without overlaps.
+def spans(text: str) -> list[tuple]:
+    """(group, kind, item, start, end, longer, terms, words), mostly without overlaps.
 
-    ``longer``: an address with a town of two words where this is open; ``terms``: of a name, its words (w:) and contexts
-    (l:, r: and m:); of an open address, its town (t:); ``seed``: declared context says that it is a person.
+    group: form (kind holds), number or name (the corpus decides; kind is that of a seed, else null). longer: an address
+    with a town of two words where this is open. words: of a name, (word, start, end) of each, so that the corpus can cut it.
     """
     out: list = []
     taken = _Taken()
@@ -163,130 +151,126 @@ def spans(text: str) -> list[tuple[str, str, int, int, str | None, list[str] | N
     def put(kind: str, a: int, b: int, item: str | None = None, longer: str | None = None, terms: list[str] | None = None) -> None:
         if taken.hit(a, b) is None:
             taken.add(a, b)
-            out.append((kind, item or text[a:b], a, b, longer, terms, True))
+            out.append(("form", kind, item or text[a:b], a, b, longer, terms or [], []))
 
-    if "@" in text:
-        for m in EMAIL.finditer(text):
+    at = text.find("@")
+    while at >= 0:
+        a = at
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+            a -= 1
+        while a < at and not text[a].isalnum():
+            a += 1
+        if a < at and (m := EMAIL.match(text, a)):
+            put("email", *m.span())
+        at = text.find("@", at + 1)
+    if _DOTTED.search(text):
+        for m in SPELLED.finditer(text):
             put("email", *m.span())
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        at = text.lower().find("dot")
-        low = text.lower() if len(text.lower()) == len(text) else text
-        done = 0
-        while at >= 0:
-            if at >= done:
-                a = max(done, low.rfind("\n", 0, at) + 1, at - 120)
-                for m in SPELLED.finditer(text, a, min(len(text), at + 160)):
-                    put("email", *m.span())
-                    done = max(done, m.end())
-            at = low.find("dot", at + 3)
-    labelled = sorted({at for w in LABELS for at in _find(text, w)})
-    for at in labelled:
-        a = max(0, at - 24)
-        for m in IDENTITY.finditer(text, a, min(len(text), at + 160)):
-            if m.start() > at:
+    done = 0
+    for hit in _STREET.finditer(text):
+        at = hit.start()
+        if at < done:
+            continue
+        a = max(done, at - 200)
+        for m in ADDRESS.finditer(text, a, min(len(text), at + 400)):
+            if m.start() > at + 12:
                 break
-            put("id_number", *m.span("item"))
-    for at in sorted(at for w in STREETS for at in _find(text, w)):
-        a, b = max(0, at - 70), min(len(text), at + 150)
-        for m in ADDRESS.finditer(text, a, b):
-            if m.start() <= at + 12 and m.end() > at and (m.start() == a and a) is False:
+            if m.end() > at:
                 item, longer, town = _town(m)
                 put("address", m.start(), m.start() + len(longer or item), item, longer, [f"t:{town}"] if town else None)
-    for c in _CHUNK.finditer(text):
-        got = c.group()
-        if sum(map(str.isdigit, got)) < 7 or got.isdigit() and not got.startswith("00"):
-            continue
-        a, b = c.start(), min(len(text), c.end() + 24)
-        for m in PHONE.finditer(text, a, b):
-            if m.start() >= c.end() or sum(map(str.isdigit, m.group())) < 7:
-                continue
-            left = text[max(0, m.start() - 12) : m.start()].lower()
-            if not re.search(r"(?:run|sample|lauf|calcul|corrida|step|schritt|frame|version) $|/mlt\.$|etotal -?$", left):
-                put("phone", *m.span())
-    if ";" in text:
-        emails = [(a, b) for k, _, a, b, *_ in out if k == "email"]
-        for a, b in emails:
-            if text[b : b + 1] == ";":
-                line = text.find("\n", b)
-                for m in RECORD_ID.finditer(text, b, min(b + 120, line if line >= 0 else len(text))):
-                    put("id_number", *m.span("item"))
+                done = m.end()
+                break
+    for m in OPEN_ADDRESS.finditer(text):
+        if taken.hit(*m.span()) is None:
+            out.append(("open", "address", m.group(), *m.span(), None, [f"t:{m['town']}"], []))
+    done = 0
+    for run in _DIGITS.finditer(text):
+        a = max(done, run.start() - 6)
+        m = _NUMBER.search(text, a, min(len(text), run.end() + 48))
+        while m and m.start() < run.end():
+            done = m.end()
+            _number(text, m, out, taken)
+            m = _NUMBER.search(text, done, min(len(text), run.end() + 48))
     _names(text, out, taken)
     return out
 
 
-def _find(text: str, word: str) -> list[int]:
-    out, at = [], text.find(word)
-    while at >= 0:
-        out.append(at)
-        at = text.find(word, at + len(word))
-    return out
+def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
+    a, b = m.span()
+    if sum(map(str.isdigit, m.group())) >= 6 and not taken.hit(a, b):
+        line = text.rfind("\n", 0, a) + 1
+        near = text[max(line, a - 160) : a]
+        # The nearest label on the line, with no number and few words between.
+        cue, label = ([near[x.end() :] for x in p.finditer(near)][-1:] for p in (PHONE_LABEL, ID_LABELLED))
+        cue, label = ([x for x in y if not re.search(r"[\d;]", x) and len(x.split()) < 7] for y in (cue, label))
+        kind = "id_number" if label and not (cue and len(cue[0]) < len(label[0])) else "phone" if cue else None
+        taken.add(a, b)
+        digits = re.match(r"[+(]*\d{1,3}", m.group())
+        out.append(("number", kind, m.group(), a, b, None, [f"s:{_shape(m.group())}", *([f"p:{digits.group()}"] if digits else []), *_context(text, _left(text, a)[0].split(), b)], []))
+
+
+def _case(word: str) -> str:
+    """I for an initial, w for small letters, W for a capital and small letters, in each of its parts, X for capitals, M for any other mix."""
+    if word.endswith("."):
+        return "I"
+    parts = [x for x in re.split(r"[-\u2010\u2011'’]|\bMa?c(?=[A-Z])", word) if x]
+    return "w" if word.islower() else "X" if len(word) > 1 and word.isupper() else "W" if all(x[1:].islower() or len(x) == 1 for x in parts) else "M"
 
 
 def _names(text: str, out: list, taken: _Taken) -> None:
-    found: list[tuple[int, str, bool]] = []
-    for at in _all(text, BEFORE):
-        if text[at : at + 1] and text[at : at + 1] in BLANKS:
-            a = _TITLES.match(text, at + 1).end()
-            m = text[at - 1] == ":" and _TURNED.match(text, a) or _NAME.match(text, a)
-            if m:
-                found.append((a, m.group(), True))
-    for w in AFTER:
-        for at in _find(text, f" {w}"):
-            if not text[at + 1 + len(w) : at + 2 + len(w)].isalnum() and (m := _BACK.search(text, max(0, at - 60), at + 1)):
-                found.append((m.start("n"), m["n"], True))
-    for at in _all(text, SIGN):
-        if m := _SIGNED.match(text, at):
-            found.append((m.start("n"), m["n"], True))
-    for at in _all(text, TITLES):
-        at += text[at : at + 1] == "."
-        if text[at : at + 1] and text[at : at + 1] in BLANKS:
-            a = _TITLES.match(text, at + 1).end()
-            if m := _NAME.match(text, a):
-                found.append((a, m.group(), True))
-    for m in _DOTTED.finditer(text):
-        if re.search(rf"[\d/]{S}?$", text[max(0, m.start() - 2) : m.start()]):
+    found: list[tuple[int, int, str | None]] = []
+    small: dict[str, bool] = {}
+    for m in _AFTER_BY.finditer(text):
+        if not m["n"][0].isupper() or not SEQUENCE.fullmatch(m["n"]):
+            found.append((*m.span("n"), "any"))
+    for m in re.finditer(rf":{S}", text):
+        if x := _TURNED.match(text, m.end()):
+            found.append((*x.span(), "turned"))
+    found += [(*m.span(), None) for m in SEQUENCE.finditer(text)]
+    for a, b, form in found:
+        if form is None:
+            for cut in _CUT.finditer(text, a, b):
+                a = cut.end()
+        if form is None and re.match(rf"(?:{INITIAL}{S}?)", text[a:b]) and re.search(rf"[\d/]{S}?$", text[max(0, a - 2) : a]):
             continue
-        if x := _FULL.match(text, m.start()):
-            found.append((m.start(), x.group(), True))
-        for y in _MIDDLE.finditer(text, max(0, m.start() - 40), min(len(text), m.end() + 40)):
-            if y.start() < m.start() < y.end():
-                found.append((y.start(), y["n"], True))
-    for at in _find(text, "Reported by "):
-        a = _TITLES.match(text, at + 12).end()
-        if m := _REPORTED.match(text, a):
-            found.append((a, m["n"], True))
-    at = 0
-    lines = text.split("\n") if "\n" in text else []
-    for no, line in enumerate(lines):
-        start, at = at, at + len(line) + 1
-        if 1 < len(line) < 64 and not line[-1:].isdigit() and line.strip() not in SIGN and (m := LINE_NAME.match(line)):
-            before = lines[no - 1].strip() if no else ""
-            near = taken.hit(start, at + (len(lines[no + 1]) if no + 1 < len(lines) else 0))
-            multi = len(m["n"].split()) > 1
-            if no and (before in ("--", "—", "-") or before.endswith(",")) or near and (multi or not before) or multi and no and not before and no >= len(lines) - 4:
-                found.append((start + m.start("n"), m["n"], True))
+        if form is None and (m := _LEADING.match(text, a, b)):
+            # "de" before a full name, or after a small word, is the preposition.
+            rest, before = text[m.end() : b], text[max(0, a - 24) : a].split()
+            if " " in rest.replace(". ", ".") or before and before[-1].islower():
+                a = m.end()
+        while a < b and (x := taken.hit(a, b)):
+            if x[0] <= a:
+                a = b
             else:
-                found.append((start + m.start("n"), m["n"], False))
-    for m in LOOSE.finditer(text):
-        found.append((m.start(), m.group(), False))
-    found.sort(key=lambda x: (not x[2], -len(x[1]), x[0]))
-    for a, name, seed in found:
-        first = re.match(rf"[^\W\d_]+{S}", name)
-        if first and first.group()[:-1] in STARTERS and first.group()[:-1] not in GIVEN:
-            a, name = a + first.end(), name[first.end() :]
-        name = _trim(name).rstrip(BLANKS + "\n,;:(<")
-        b = a + len(name)
-        while name and (x := taken.hit(a, b)):
-            name = "" if x[0] <= a else text[a : x[0]].rstrip(BLANKS + "\n,;:(<")
-            b = a + len(name)
-        letters = re.findall(r"[^\W\d_]{2,}", name)
-        if not letters or name in TITLES or name in STARTERS and not (seed and name in GIVEN):
+                b = x[0]
+                while b > a and not text[b - 1].isalnum() and text[b - 1] != ".":
+                    b -= 1
+        item = text[a:b]
+        words = [(w.group(), a + w.start(), a + w.end()) for w in _WORDS.finditer(item)] if form != "any" and not item.isalpha() else [(w.group(), a + w.start(), a + w.end()) for w in re.finditer(r"[^\W\d_]+", item)] if form == "any" else [(item, a, b)]
+        if item in CLOSINGS or item in CUES or not any(len(w) > 2 for w, _, _ in words):
             continue
-        right = text[b : b + 24]
-        method = bool(METHOD.match(right) or METHOD_LEFT.search(text[max(0, a - 24) : a]))
-        seed = seed and not METHOD.match(right)
+        left, starts = _left(text, a)
+        before = left.split()
+        last = before[-1] if before else ""
+        if len(words) == 1 and (not last or last[-1] in ".!?:") and text[b : b + 1] in BLANKS and text[b + 1 : b + 2].islower():
+            # A word that starts a sentence, and stands in lower case elsewhere in the text, is written large for that.
+            if item not in small:
+                small[item] = f" {item.lower()} " in text
+            if small[item]:
+                continue
         taken.add(a, b)
-        words = [f"w:{w}" for w in re.split(rf"{S}|,|{H}", name) if len(w) > 2]
-        left = re.findall(r"[\w'’-]+", text[max(0, a - 30) : a])[-2:] or ["^"]
-        follow = re.findall(r"^\W{0,2}([\w'’-]+)", right) or ["$"]
-        out.append(("name", name, a, b, None, [*words, f"l:{' '.join(left).lower()}", f"r:{follow[0].lower()}", *["m:method"] * method], seed))
+        seed = last.rstrip(".") in CUES or last in LABELS
+        own_line = starts and text[b : b + 24].lstrip(BLANKS)[:1] in ("", "\n")
+        near = None
+        if left.strip() in CLOSINGS and text[b : b + 24].lstrip(BLANKS)[:1] in ("", "\n"):
+            seed = True
+        if own_line:
+            line = a - len(left)
+            above = text[max(0, line - 48) : max(0, line)].rstrip("\n" + BLANKS).rsplit("\n", 1)[-1].strip(BLANKS)
+            seed = seed or above.rstrip(",") in CLOSINGS
+            end = b + len(text[b : b + 24]) - len(text[b : b + 24].lstrip(BLANKS))
+            near = taken.hit(max(0, line - 30), line) or taken.hit(end, end + 12)
+        elif text[b : b + 1] in _MARKS:
+            near = taken.hit(b, b + 4)
+        shape = f"f:{form or ''}" + " ".join(_case(w) for w, _, _ in words)
+        out.append(("name", "name" if seed else None, item, a, b, None, [shape + " line" * own_line, *(["c:near"] if near else []), *_context(text, before, b)], words))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orbitlake.llm import groups, mixing, packing, pii, tokens
 from orbitlake.runtime import Scratch, table
@@ -44,11 +45,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.accepted(pii.candidates(table(spark, d, "documents"), scratch), scratch).select("doc_id", "kind", "item").distinct()
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """kind, evidence, n: what the pieces were told by."""
+    scratch = Scratch(spark, "pii")
+    return pii.accepted(pii.candidates(table(spark, d, "documents"), scratch), scratch).groupBy("kind", "evidence").agg(F.count("*").alias("n"))
+
+
+def p8_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """How many declared pieces are found where nobody declares them."""
+    return pii.held_out(table(spark, d, "documents"), Scratch(spark, "pii"))
+
+
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return pii.sanitise(table(spark, d, "documents"), Scratch(spark, "pii"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_evidence, p8_heldout, p8_clean)}
 
 SQL["p4_found"] = """WITH RECURSIVE a AS (SELECT DISTINCT frame_id f, id::BIGINT id FROM atoms WHERE frame_id IS NOT NULL AND id IS NOT NULL),
 mol AS (SELECT frame_id f, id::BIGINT id, min(id::BIGINT) OVER (PARTITION BY frame_id, molecule_id) head FROM atoms WHERE molecule_id > 0 AND frame_id IS NOT NULL AND id IS NOT NULL),

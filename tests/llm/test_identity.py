@@ -2,7 +2,7 @@ from orbitlake.llm.pii_spans import spans
 
 
 def numbers(text):
-    return [i for k, i, *_ in spans(text) if k == "id_number"]
+    return [i for _, k, i, *_ in spans(text) if k == "id_number"]
 
 
 def test_labels_close_together():

@@ -1,3 +1,5 @@
+import random
+
 from orbitlake.llm import pii
 from orbitlake.llm.pii_spans import spans
 from orbitlake.runtime import Scratch
@@ -10,17 +12,67 @@ TEXT = (
 
 
 def test_spans():
-    got = {(k, i) for k, i, *_, seed in spans(TEXT) if seed}
-    assert ("email", "ada.v+x@lab.example.org") in got and ("email", "ada at lab dot example dot net") in got
-    assert ("phone", "+46 31 390 06 53 ext. 12") in got and ("id_number", "HB-954120-K") in got
-    assert ("name", "Ada Varlosen") in got and ("name", "O'Kelmamer") in got and ("name", "Bo") in got
-    assert ("address", "Flat 9, 306 Quillmere Ave., Dorrow Bay QX2 8XQ") in got
-    assert not any("946-36" in i or "485-9377" in i or "node5" in i for _, i in got)
+    found = spans(TEXT)
+    formed = {(k, i) for grp, k, i, *_ in found if grp == "form"}
+    assert {("email", "ada.v+x@lab.example.org"), ("email", "ada at lab dot example dot net"), ("address", "Flat 9, 306 Quillmere Ave., Dorrow Bay QX2 8XQ")} <= formed
+    seeds = {(k, i) for grp, k, i, *_ in found if grp != "form" and k}
+    assert {("phone", "+46 31 390 06 53 ext. 12"), ("id_number", "HB-954120-K"), ("name", "O'Kelmamer")} <= seeds
+    assert not any("946-36" in i or "485-9377" in i or "node5" in i for _, i in formed | seeds)
+    assert {"Ada Varlosen", "The Varlosen", "Call Bo"} <= {i for grp, _, i, *_ in found if grp == "name"}
+    assert all(TEXT[a:b].startswith(i) for _, _, i, a, b, *_ in found)
+
+
+GIVEN = "Ada Bruno Cara Dov Elin Fadi Gita Hugo Ines Jana".split()
+FAMILY = [a + b for a in ("Var", "Kel", "Osk", "Mir", "Tam", "Zol") for b in ("losen", "berg", "mamer", "dal", "quist", "nen")]
+USES = ["{n} wrote the converter.", "We ask {n} about the box.", "The sample of {n} is dry."]
+OTHER = ["The {f} thermostat keeps the temperature.", "Run {r} ended early.", "Molstride reads the dump.", "The {f} thermostat is stable.", "Sample {r} was dried."]
+DECLARED = ["Dear {n},\nthe run is done.", "Mr {n} has the key.", "Call me: {p} is my phone.", "My phone is {p}.", "The badge {i} is lost."]
+
+
+def corpus(seed: int = 2, n: int = 700):
+    rnd = random.Random(seed)
+    docs, truth = [], set()
+    for k in range(n):
+        name = f"{rnd.choice(GIVEN)} {rnd.choice(FAMILY)}"
+        phone, badge, run = f"+46 31 {rnd.randrange(100, 999)} {rnd.randrange(10, 99)} {rnd.randrange(10, 99)}", f"HB-{rnd.randrange(10**5, 10**6)}-K", f"{rnd.randrange(100, 999)}-{rnd.randrange(1000, 9999)}"
+        parts = [(rnd.choice(DECLARED), True)] if k % 3 == 0 else []
+        parts += [(rnd.choice(USES), True), (rnd.choice(OTHER), False), (rnd.choice(OTHER), False), ("Reach us at {p} today.", True)]
+        text = " ".join(t for t, _ in parts)
+        for mark, kind, item in (("{n}", "name", name), ("{p}", "phone", phone), ("{i}", "id_number", badge)):
+            if mark in text:
+                truth.add((k, kind, item))
+        docs.append((k, text.format(n=name, p=phone, i=badge, r=run, f=rnd.choice(FAMILY)), "x"))
+    return docs, truth
+
+
+SCHEMA = "doc_id long, text string, kind string"
+
+
+def test_corpus_decides(spark):
+    docs, truth = corpus()
+    scratch = Scratch(spark, "test")
+    out = pii.accepted(pii.candidates(spark.createDataFrame(docs, SCHEMA), scratch), scratch).collect()
+    got = {(r.doc_id, r.kind, r.item) for r in out}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.97 * len(got)
+    assert sum(r.evidence == "disclosed" for r in out) > 0.9 * len(out)
+
+
+def test_held_out(spark):
+    rows = pii.held_out(spark.createDataFrame(corpus(5)[0], SCHEMA), Scratch(spark, "test")).collect()
+    assert {r.kind for r in rows} >= {"name", "phone"} and all(r.n_found >= 0.9 * r.n_hidden for r in rows if r.kind != "id_number")
+
+
+def test_street_of_an_unknown_kind_by_its_town(spark):
+    docs = [(1, "Die Proben gehen an Mühlenweg 2, D-05583 Dorrow Bay.", "x"), (2, "We moved to 14 Quillmere Parade, Dorrow Bay last week.", "x"), (3, "We used 14 Quillmere Steps, Other Thing here.", "x")]
+    scratch = Scratch(spark, "test")
+    got = {(r.doc_id, r.item) for r in pii.accepted(pii.candidates(spark.createDataFrame(docs, SCHEMA), scratch), scratch).collect()}
+    assert got == {(1, "Mühlenweg 2, D-05583 Dorrow Bay"), (2, "14 Quillmere Parade, Dorrow Bay")}
 
 
 def test_sanitise_edge_cases(spark):
-    docs = spark.createDataFrame([(1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, "x " * 100_000, "x"), (5, TEXT, "x")], "doc_id long, text string, kind string")
+    docs = [(1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, "x " * 100_000, "x"), (5, TEXT, "x"), (6, "Aa " * 60_000 + "9-" * 60_000 + "a@" * 30_000, "x")] + [(k + 100, t, c) for k, t, c in corpus()[0]]
+    docs = spark.createDataFrame(docs, SCHEMA)
     out = {r.doc_id: r for r in pii.sanitise(docs, Scratch(spark, "test")).collect()}
-    assert len(out) == 5 and out[2].clean_text is None and out[3].clean_text == "" and out[4].n_replaced == 0
+    assert len(out) == 706 and out[2].clean_text is None and out[3].clean_text == "" and out[4].n_replaced == 0
     assert "[EMAIL]" in out[1].clean_text and "Varlosen thermostat" in out[1].clean_text and "Ada" not in out[1].clean_text and out[1].clean_text == out[5].clean_text
     assert pii.sanitise(docs.limit(0), Scratch(spark, "test")).count() == 0
