@@ -29,32 +29,34 @@ VETO_EXPECTED, VETO_SHARE = 10, 0.1
 #: Weight of the average of all candidates in the share of a term, and the same in the first round: a rare word that was
 #: once declared must not reveal others yet.
 PRIOR, FIRST_PRIOR = 5.0, 20.0
-#: The threshold of the first round, whose entities teach the contexts.
-FIRST_DISCLOSURE = 0.9
+#: The threshold of the first round, whose entities teach the contexts: words of names are shared with other things, shapes of numbers hardly.
+FIRST_DISCLOSURE = {"name": 0.9, "number": 0.5}
 ROUNDS = 3
 #: A word that was expected in so many seeds, and is in none, is no part of a name.
-UNDECLARED = 3
+UNDECLARED = 8
 #: Terms of the candidate itself. They alone count in the first round, when contexts are known from declarations only.
 INNER = ("w", "s", "p")
 KINDS = {"number": ["phone", "id_number"], "name": ["name"]}
 SEP = "\x1f"
-ROW = "grp string, kind string, item string, first int, last int, longer string, terms string, cuts string"
+ROW = "grp string, kind string, item string, first int, last int, longer string, terms string, words string, cuts string"
+#: A word is looked up as common only if it makes up so much of all words, which bounds their number.
+COMMON_SHARE = 1e-5
 
 
 def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each span of each document: doc_id, grp, kind, item, first, last, longer, terms, cuts. Null and empty texts have none.
+    """One row for each span of each document: doc_id, grp, kind, item, first, last, longer, terms, words, cuts. Null and empty texts have none.
 
-    terms are joined by SEP, those of the words first; cuts has first and last of each word, counted from the start of the item.
+    terms and the words of a name are joined by SEP; cuts has first and last of each word, counted from the start of the item.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "grp", "kind", "item", "first", "last", "longer", "terms", "cuts"]
+        names = ["doc_id", "grp", "kind", "item", "first", "last", "longer", "terms", "words", "cuts"]
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 for grp, kind, item, a, b, longer, terms, words in spans(text):
-                    rows.append((doc, grp, kind, item, a, b, longer, SEP.join([*(f"w:{w.lower()}" for w, _, _ in words), *terms]), " ".join(f"{x - a} {y - a}" for _, x, y in words)))
+                    rows.append((doc, grp, kind, item, a, b, longer, SEP.join(terms), SEP.join([w for w, _, _ in words]).lower(), " ".join([f"{x} {y}" for _, x, y in words])))
             yield pd.DataFrame(rows, columns=names)
 
     return scratch.put(docs.where("text is not null and text != ''").select("doc_id", "text").mapInPandas(read, f"doc_id {key}, {ROW}"))
@@ -64,21 +66,56 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def uncommon(found: DataFrame) -> DataFrame:
+    """found without the common words: words of names that, seen so often, would have been declared persons by chance alone if they were names.
+
+    Such words are cut off the ends of a name, and become its context; a name of nothing else is dropped. They are collected, as there
+    are at most 1 / COMMON_SHARE of them. Rows of other groups stay as they are.
+    """
+    names = found.where("grp = 'name'")
+    each = names.select(F.col("kind").isNotNull().alias("seed"), F.explode(F.split("words", SEP)).alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"), F.count_if("seed").alias("n_seed"))
+    total = each.agg(F.count("*").alias("n"), F.count_if("seed").alias("s")).first()
+    share = (total["s"] or 0) / max(total["n"], 1)
+    common = [r[0] for r in counts.where((F.col("n") * share >= VETO_EXPECTED) & (F.col("n_seed") < VETO_SHARE * share * F.col("n")) & (F.col("n") >= COMMON_SHARE * total["n"]) & ~F.col("word").rlike(r"^\p{L}\.$")).select("word").collect()]
+    words = F.split("words", SEP)
+    kept = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.col("_w")[i].isin(common)) if common else F.sequence(F.lit(0), F.size(words) - 1)
+    out = names.withColumn("_w", words).withColumn("_k", kept).where("size(_k) > 0").withColumn("_lo", F.array_min("_k")).withColumn("_hi", F.array_max("_k")).withColumn("_n", F.size("_w"))
+    at, terms = F.split("cuts", " "), F.split("terms", SEP)
+    whole = (F.col("_lo") == 0) & (F.col("_hi") == F.col("_n") - 1)
+    start = F.when(F.col("_lo") > 0, at[2 * F.col("_lo")].cast("int")).otherwise(0)
+    end = F.when(F.col("_hi") < F.col("_n") - 1, at[2 * F.col("_hi") + 1].cast("int")).otherwise(F.length("item"))
+    moved = F.array_join(F.transform(F.slice(at, 2 * F.col("_lo") + 1, 2 * (F.col("_hi") - F.col("_lo") + 1)), lambda x: (x.cast("int") - start).cast("string")), " ")
+    terms = F.transform(terms, lambda t: F.when((F.col("_lo") > 0) & t.startswith("l1:"), F.concat(F.lit("l1:"), F.col("_w")[F.col("_lo") - 1])).when((F.col("_lo") > 0) & t.startswith("l2:"), F.concat(F.lit("l1:"), F.col("_w")[F.col("_lo") - 1])).when((F.col("_hi") < F.col("_n") - 1) & t.startswith("r1:"), F.concat(F.lit("r1:"), F.col("_w")[F.col("_hi") + 1])).otherwise(t))
+    cut = out.select(
+        "doc_id", "grp", "kind", F.when(whole, F.col("item")).otherwise(F.col("item").substr(start + 1, end - start)).alias("item"), (F.col("first") + start).cast("int").alias("first"), (F.col("first") + end).cast("int").alias("last"), "longer",
+        F.when(whole, F.col("terms")).otherwise(F.array_join(F.array_distinct(terms), SEP)).alias("terms"), F.array_join(F.slice("_w", F.col("_lo") + 1, F.col("_hi") - F.col("_lo") + 1), SEP).alias("words"), F.when(whole, F.col("cuts")).otherwise(moved).alias("cuts"),
+    )
+    return found.where("grp != 'name'").unionByName(cut)
+
+
 def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """grp, terms, cuts, kind and score of the candidates, by context, whose terms disclose an entity; low and high are the first and last word kept.
+    """h, terms, words, kind, told, score, low and high of the candidates, by words and context, whose terms disclose an entity.
 
-    found: the candidates; kind is set on seeds. A seed is disclosed by itself, whatever its terms; it comes with score null.
+    found: the candidates; kind is set on seeds. A seed is disclosed by itself, whatever its terms; told is what the terms alone
+    say. low and high are the first and last word kept. Equal candidates in equal context are one.
     """
-    open_ = found.where(F.col("grp").isin(*KINDS))
-    sigs = open_.groupBy("grp", "terms", "cuts").agg(F.max("kind").alias("seed"))
-    sigs = scratch.put(sigs.withColumn("h", F.xxhash64("grp", "terms", "cuts")))
-    each = scratch.put(sigs.select("h", "grp", F.posexplode(F.split("terms", SEP)).alias("at", "text")).select("h", "grp", "at", F.xxhash64("grp", "text").alias("term"), F.substring_index("text", ":", 1).alias("t"), F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$").alias("wordy"), ((F.col("grp") == "name") & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"), F.col("text").rlike(r"^w:\p{L}\.$").alias("initial")))
+    sigs = found.where(F.col("grp").isin(*KINDS)).groupBy("grp", "terms", "words").agg(F.max("kind").alias("seed"))
+    sigs = scratch.put(sigs.withColumn("h", F.xxhash64("grp", "terms", "words")))
+    inner = F.when(F.col("words") != "", F.transform(F.split("words", SEP), lambda w: F.concat(F.lit("w:"), w))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(inner, F.split("terms", SEP))
+    parts = sigs.select("h", "grp", F.posexplode(texts).alias("at", "text")).select(
+        "h", "grp", "at", F.xxhash64("grp", "text").alias("term"), F.substring_index("text", ":", 1).alias("t"), F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$").alias("wordy"),
+        ((F.col("grp") == "name") & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"), F.col("text").rlike(r"^w:\p{L}\.$").alias("initial"),
+    )
+    each = scratch.put(parts)
     hot, _ = hot_keys(each, ["term"], scratch)
     kinds = [k for ks in KINDS.values() for k in ks]
     is_ = {k: F.coalesce((F.col("kind") == k).cast("double"), F.lit(0.0)) for k in kinds}
     label, judged = scratch.put(sigs.select("h", "grp", F.col("seed").alias("kind"), F.col("seed").isNotNull().alias("seed"))), None
     for no in range(rounds):
-        prior, least = (PRIOR, DISCLOSURE) if no else (FIRST_PRIOR, FIRST_DISCLOSURE)
+        prior = PRIOR if no else FIRST_PRIOR
+        least = F.lit(DISCLOSURE) if no else F.when(F.col("grp") == "name", FIRST_DISCLOSURE["name"]).otherwise(FIRST_DISCLOSURE["number"])
         marked = (each if no else each.where(F.col("t").isin(*INNER))).join(label.drop("grp"), "h")
         counts = marked.groupBy("term").agg(F.first("grp").alias("g"), F.count("*").alias("n"), F.count_if("seed").alias("n_seed"), *[F.sum(is_[k]).alias(f"n_{k}") for k in kinds]).where("n > 1")
         base = label.groupBy("grp").agg(*[F.greatest(F.lit(1e-4), F.least(F.lit(0.9), F.avg(is_[k]))).alias(f"b_{k}") for k in kinds], F.avg(F.when(F.col("kind").isNotNull(), F.col("seed").cast("double"))).alias("declared"))
@@ -90,27 +127,31 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
             # Without the candidate itself, which would else vouch for itself.
             share = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col(f"n_{k}") - is_[k] + prior * b) / (F.col("n") - 1 + prior)))
             odds_of[k] = (_logit(share) - _logit(b), ((F.col("n") - 1) * b >= VETO_EXPECTED) & (share < VETO_SHARE * b))
-        # A word that persons lack, or that goes with persons and yet was never declared one, does not belong to the name.
-        alien = (F.col("t") == "w") & ~F.col("initial") & (odds_of["name"][1] | ((F.col("n_seed") == 0) & (F.col("n_name") * F.col("declared") >= UNDECLARED)))
+        # A word that persons lack does not belong to a name, nor does one before it that goes with persons and yet is hardly ever declared one.
+        word = (F.col("t") == "w") & ~F.col("initial")
+        alien = word & odds_of["name"][1]
+        cue = word & (F.col("n_name") * F.col("declared") >= UNDECLARED) & (F.col("n_seed") <= VETO_SHARE * F.col("n_name") * F.col("declared"))
         sums = []
         for k, (lift, against) in odds_of.items():
             # A mark beside it may speak against a person, but for one only words, forms and places do.
-            sums += [F.sum(F.when(F.col("mark"), F.least(lift, F.lit(0.0))).when(~alien, lift)).alias(f"s_{k}"), F.max(against & F.col("wordy")).alias(f"v_{k}"), F.max(f"b_{k}").alias(f"b_{k}")]
-        scored = met.groupBy("h").agg(F.first("grp").alias("grp"), *sums, F.array_sort(F.collect_set(F.when(alien, F.col("at")))).alias("cut"))
+            sums += [F.sum(F.when(F.col("mark"), F.least(lift, F.lit(0.0))).when(~(alien | cue), lift)).alias(f"s_{k}"), F.max(against & F.col("wordy")).alias(f"v_{k}"), F.max(f"b_{k}").alias(f"b_{k}")]
+        scored = met.groupBy("h").agg(F.first("grp").alias("grp"), *sums, F.collect_set(F.when(alien, F.col("at"))).alias("cut"), F.collect_set(F.when(cue, F.col("at"))).alias("lead"))
         odds = {k: F.when(F.col(f"v_{k}"), F.lit(-100.0)).otherwise(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)) + _logit(F.col(f"b_{k}"))) for k in kinds}
-        raw = scratch.put(scored.select("h", "cut", *[(1 / (1 + F.exp(-odds[k]))).alias(f"p_{k}") for k in kinds]).join(label, "h"))
+        raw = scratch.put(scored.select("h", "cut", "lead", *[(1 / (1 + F.exp(-odds[k]))).alias(f"p_{k}") for k in kinds]).join(label, "h"))
         # Only some entities are declared: in the first round, what the declared ones score on average is what a sure one scores.
         sure = raw.agg(*[F.greatest(F.lit(0.05), F.avg(F.when(F.col("kind") == k, F.col(f"p_{k}")))).alias(f"c_{k}") for k in kinds])
         best = lambda g: F.greatest(*[F.struct(F.least(F.lit(1.0), F.col(f"p_{k}") / (F.lit(1.0) if no else F.coalesce(F.col(f"c_{k}"), F.lit(1.0)))).alias("p"), F.lit(k).alias("k")) for k in KINDS[g]], *[F.lit(None).cast("struct<p:double,k:string>")] * (len(KINDS[g]) == 1))
-        judged = scratch.put(raw.join(F.broadcast(sure)).withColumn("best", F.when(F.col("grp") == "number", best("number")).otherwise(best("name"))).select("h", "cut", F.col("best.k").alias("k"), F.col("best.p").alias("score")))
-        held = sigs.select("h", "grp", "seed").join(judged, "h", "left")
-        label = scratch.put(held.select("h", "grp", F.coalesce("seed", F.when(F.col("score") >= least, F.col("k"))).alias("kind"), F.col("seed").isNotNull().alias("seed")))
+        judged = scratch.put(raw.join(F.broadcast(sure)).withColumn("best", F.when(F.col("grp") == "number", best("number")).otherwise(best("name"))).select("h", "cut", "lead", F.col("best.k").alias("k"), F.col("best.p").alias("score")))
+        # In the first round a name has two words at least: one word alone may be shared with things named after persons.
+        lone = F.lit(False) if no else (F.col("grp") == "name") & (F.instr("words", SEP) == 0)
+        held = sigs.select("h", "grp", "seed", lone.alias("lone")).join(judged, "h", "left")
+        label = scratch.put(held.select("h", "grp", F.coalesce("seed", F.when((F.col("score") >= least) & ~F.col("lone"), F.col("k"))).alias("kind"), F.col("seed").isNotNull().alias("seed")))
     out = sigs.join(judged, "h", "left").withColumn("told", F.when(F.col("score") >= DISCLOSURE, F.col("k"))).where("seed is not null or told is not null")
-    n_words = F.when(F.col("cuts") == "", 0).otherwise(F.floor(F.size(F.split("cuts", " ")) / 2)).cast("int")
-    kept = F.array_except(F.sequence(F.lit(0), n_words - 1), F.coalesce("cut", F.array().cast("array<int>")))
-    kept = F.when(n_words > 0, kept)
-    out = out.withColumn("kept", kept)
-    return out.where("kept is null or size(kept) > 0").select("h", "grp", "terms", "cuts", F.coalesce("seed", "told").alias("kind"), "told", "score", F.array_min("kept").alias("low"), F.array_max("kept").alias("high"))
+    n_words = F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", SEP)))
+    none = F.array().cast("array<int>")
+    kept = F.array_except(F.sequence(F.lit(0), n_words - 1), F.coalesce("cut", none))
+    out = out.withColumn("kept", F.when(n_words > 0, kept)).withColumn("own", F.array_except("kept", F.coalesce("lead", none)))
+    return out.where("kept is null or size(own) > 0").select("h", "terms", "words", F.coalesce("seed", "told").alias("kind"), "told", "score", F.array_min("own").alias("low"), F.array_max("kept").alias("high"))
 
 
 def accepted(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -124,10 +165,11 @@ def accepted(found: DataFrame, scratch: Scratch) -> DataFrame:
     whole = found.where("grp = 'form' and longer is not null").join(known, "terms", "left")
     ended = whole.select("doc_id", "kind", F.when(F.col("known"), F.col("longer")).otherwise(F.col("item")).alias("item"), "first", F.when(F.col("known"), F.col("last")).otherwise(F.col("first") + F.length("item")).alias("last"), F.lit("form").alias("evidence"))
     streets = scratch.put(found.where("grp = 'open'").join(known, "terms").select("doc_id", "kind", "item", "first", "last", F.lit("disclosed").alias("evidence")))
-    told = scratch.put(disclosed(found, scratch).drop("grp"))
-    rows = found.where(F.col("grp").isin(*KINDS)).drop("kind").withColumn("h", F.xxhash64("grp", "terms", "cuts"))
+    rare = scratch.put(uncommon(found.where(F.col("grp").isin(*KINDS))))
+    told = scratch.put(disclosed(rare, scratch))
+    rows = rare.drop("kind").withColumn("h", F.xxhash64("grp", "terms", "words"))
     hot, _ = hot_keys(rows, ["h"], scratch)
-    hits = lookup(rows, told.withColumnRenamed("terms", "_terms").withColumnRenamed("cuts", "_cuts"), ["h"], hot, "inner").where("terms = _terms and cuts = _cuts")
+    hits = lookup(rows, told.withColumnsRenamed({"terms": "_terms", "words": "_words"}), ["h"], hot, "inner").where("terms = _terms and words = _words")
     at = F.split("cuts", " ")
     low = F.when(F.col("low") > 0, F.element_at(at, 2 * F.col("low") + 1).cast("int")).otherwise(F.lit(0))
     high = F.when(F.col("high").isNotNull(), F.element_at(at, 2 * F.col("high") + 2).cast("int")).otherwise(F.length("item"))

@@ -25,6 +25,7 @@ ANYCASE = r"[^\W\d_][^\W\d_.'’-]*(?:[.'’ -]+[^\W\d_]+)*\.?"
 EMAIL = re.compile(r"[^\W_][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])(?!:/)")
 _AT, _DOT = r"\s?(?:\[at\]|\(at\)|\{at\}|\bat\b)\s?", r"\s?(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b)\s?"
 SPELLED = re.compile(rf"(?i)[^\W_][\w+-]*(?:(?:\.|{_DOT})[\w+-]+)*{_AT}[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b")
+BRACKETED = re.compile(r"(?i)[^\W_][\w.+%-]*\s?[\[({]at[\])}]\s?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w@])")
 _G = rf"[{BLANKS}.\-\u2010\u2011/]"
 PHONE = re.compile(
     rf"(?<![\w.+/@-])(?:\+\d{{1,3}}{_G}?(?:\(\d{{1,4}}\){_G}?)?\d{{1,5}}(?:{_G}?\d{{2,5}}){{1,6}}|(?:1{S})?\(\d{{3,5}}\){S}?\d{{3,7}}(?:{_G}\d{{2,4}})*|00[1-9]\d{{8,12}}"
@@ -71,11 +72,13 @@ OPEN_ADDRESS = re.compile(rf"(?<![\w.])(?:{_UNIT},{S})?\d+[a-z]?{S}(?:{_CAPS}{S}
 _CUES = "|".join((*TITLES, *GREETINGS))
 CUES = {*TITLES, *GREETINGS}
 _CUT = re.compile(rf"(?<![^\W_])(?:{_CUES})\.?{S}")
-SEQUENCE = re.compile(rf"(?<![\w@.])(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)")
+SEQUENCE = re.compile(rf"(?<![\w@.)])(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)")
 _TURNED = re.compile(TURNED)
 _LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
 _WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
+_AT_MARK = re.compile(r"[\[({](?:at|AT|At)[\])}]")
 _DOTTED = re.compile(r"(?:[\[({ ]|\A)(?:dot|DOT|Dot)[\])} ]")
+_NINES = str.maketrans("012345678", "999999999")
 _MARKS = {",", ";", ":", "<", "("}
 _DIGITS = re.compile(rf"\d(?:[{BLANKS}.\-‐‑/()]{{0,3}}\d){{5}}")
 _AFTER_BY = re.compile(rf"(?<!\w)(?i:(?:reported|written|signed|sent|approved) by){S}(?:{_CUT.pattern})*(?P<n>[^\W\d_][^\W\d_.'’-]*(?:[.'’-]?{S}?[^\W\d_]+){{0,4}})(?=,)")
@@ -132,7 +135,7 @@ def _left(text: str, a: int) -> tuple[str, bool]:
 
 def _context(text: str, words: list[str], b: int) -> list[str]:
     """The two words before a span, the last of them alone, and the word or mark after it; ^ and $ are the ends of a line."""
-    words = [re.sub(r"\d", "9", w.lower()) for w in words[-2:]] or ["^"]
+    words = [w.lower() if w.isalpha() else w.lower().translate(_NINES) for w in words[-2:]] or ["^"]
     after = text[b : b + 1]
     if after and after in BLANKS:
         after = (text[b + 1 : b + 25].lower().split() or "$")[0].rstrip(",.;:!?")
@@ -143,7 +146,7 @@ def spans(text: str) -> list[tuple]:
     """(group, kind, item, start, end, longer, terms, words), mostly without overlaps.
 
     group: form (kind holds), number or name (the corpus decides; kind is that of a seed, else null). longer: an address
-    with a town of two words where this is open. words: of a name, (word, start, end) of each, so that the corpus can cut it.
+    with a town of two words where this is open. words: of a name, (word, start, end in the item) of each, so that the corpus can cut it.
     """
     out: list = []
     taken = _Taken()
@@ -163,6 +166,9 @@ def spans(text: str) -> list[tuple]:
         if a < at and (m := EMAIL.match(text, a)):
             put("email", *m.span())
         at = text.find("@", at + 1)
+    if _AT_MARK.search(text):
+        for m in BRACKETED.finditer(text):
+            put("email", *m.span())
     if _DOTTED.search(text):
         for m in SPELLED.finditer(text):
             put("email", *m.span())
@@ -209,68 +215,83 @@ def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
         out.append(("number", kind, m.group(), a, b, None, [f"s:{_shape(m.group())}", *([f"p:{digits.group()}"] if digits else []), *_context(text, _left(text, a)[0].split(), b)], []))
 
 
-def _case(word: str) -> str:
-    """I for an initial, w for small letters, W for a capital and small letters, in each of its parts, X for capitals, M for any other mix."""
-    if word.endswith("."):
-        return "I"
-    parts = [x for x in re.split(r"[-\u2010\u2011'’]|\bMa?c(?=[A-Z])", word) if x]
-    return "w" if word.islower() else "X" if len(word) > 1 and word.isupper() else "W" if all(x[1:].islower() or len(x) == 1 for x in parts) else "M"
+SKIP = CUES | CLOSINGS
 
 
 def _names(text: str, out: list, taken: _Taken) -> None:
-    found: list[tuple[int, int, str | None]] = []
     small: dict[str, bool] = {}
-    for m in _AFTER_BY.finditer(text):
-        if not m["n"][0].isupper() or not SEQUENCE.fullmatch(m["n"]):
-            found.append((*m.span("n"), "any"))
+    found: list[tuple[int, int, str]] = []
+    if " by" in text:
+        found += [(*m.span("n"), "any") for m in _AFTER_BY.finditer(text) if not SEQUENCE.fullmatch(m["n"])]
     for m in re.finditer(rf":{S}", text):
         if x := _TURNED.match(text, m.end()):
             found.append((*x.span(), "turned"))
-    found += [(*m.span(), None) for m in SEQUENCE.finditer(text)]
+    found = [x for x in found if taken.hit(x[0], x[1]) is None]
+    for a, b, _ in found:
+        taken.add(a, b)
     for a, b, form in found:
-        if form is None:
-            for cut in _CUT.finditer(text, a, b):
-                a = cut.end()
-        if form is None and re.match(rf"(?:{INITIAL}{S}?)", text[a:b]) and re.search(rf"[\d/]{S}?$", text[max(0, a - 2) : a]):
-            continue
-        if form is None and (m := _LEADING.match(text, a, b)):
-            # "de" before a full name, or after a small word, is the preposition.
-            rest, before = text[m.end() : b], text[max(0, a - 24) : a].split()
-            if " " in rest.replace(". ", ".") or before and before[-1].islower():
-                a = m.end()
-        while a < b and (x := taken.hit(a, b)):
-            if x[0] <= a:
-                a = b
-            else:
-                b = x[0]
-                while b > a and not text[b - 1].isalnum() and text[b - 1] != ".":
-                    b -= 1
-        item = text[a:b]
-        words = [(w.group(), a + w.start(), a + w.end()) for w in _WORDS.finditer(item)] if form != "any" and not item.isalpha() else [(w.group(), a + w.start(), a + w.end()) for w in re.finditer(r"[^\W\d_]+", item)] if form == "any" else [(item, a, b)]
-        if item in CLOSINGS or item in CUES or not any(len(w) > 2 for w, _, _ in words):
+        words = [(w.group(), w.start(), w.end()) for w in (re.finditer(r"[^\W\d_]+", text[a:b]) if form == "any" else _WORDS.finditer(text[a:b]))]
+        if any(len(w) > 2 for w, _, _ in words):
+            out.append(_name(text, a, b, form, words, taken))
+    busy = bool(taken.starts)
+    for m in SEQUENCE.finditer(text):
+        a, b = m.span()
+        item = m.group()
+        if not item.isalpha():
+            if item[0].islower() and (lead := _LEADING.match(text, a, b)):
+                # "de" before a full name, or after a small word, is the preposition.
+                rest, before = text[lead.end() : b], text[max(0, a - 24) : a].split()
+                if " " in rest.replace(". ", ".") or before and before[-1].islower():
+                    a = lead.end()
+            if " " in item or "\u00a0" in item:
+                for cut in _CUT.finditer(text, a, b):
+                    a = cut.end()
+            if text[a + 1 : a + 2] == "." and re.search(rf"[\d/]{S}?$", text[max(0, a - 2) : a]):
+                continue
+            item = text[a:b]
+        if busy:
+            while a < b and (x := taken.hit(a, b)):
+                if x[0] <= a:
+                    a = b
+                else:
+                    b = x[0]
+                    while b > a and not text[b - 1].isalnum() and text[b - 1] != ".":
+                        b -= 1
+                item = text[a:b]
+        if len(item) < 3 or item in SKIP:
             continue
-        left, starts = _left(text, a)
-        before = left.split()
-        last = before[-1] if before else ""
-        if len(words) == 1 and (not last or last[-1] in ".!?:") and text[b : b + 1] in BLANKS and text[b + 1 : b + 2].islower():
-            # A word that starts a sentence, and stands in lower case elsewhere in the text, is written large for that.
-            if item not in small:
-                small[item] = f" {item.lower()} " in text
-            if small[item]:
+        if item.isalpha():
+            words = [(item, 0, b - a)]
+            if text[b + 1 : b + 2].islower() and text[b : b + 1] in BLANKS and (a < 2 or text[a - 1] == "\n" or text[a - 2] in ".!?:\n"):
+                # A word that starts a sentence, and stands in lower case elsewhere in the text, is written large for that.
+                if item not in small:
+                    small[item] = f" {item.lower()} " in text
+                if small[item]:
+                    continue
+        else:
+            words = [(w.group(), w.start(), w.end()) for w in _WORDS.finditer(item)]
+            if not any(len(w) > 2 for w, _, _ in words):
                 continue
-        taken.add(a, b)
-        seed = last.rstrip(".") in CUES or last in LABELS
-        own_line = starts and text[b : b + 24].lstrip(BLANKS)[:1] in ("", "\n")
-        near = None
-        if left.strip() in CLOSINGS and text[b : b + 24].lstrip(BLANKS)[:1] in ("", "\n"):
+        out.append(_name(text, a, b, "", words, taken))
+
+
+def _name(text: str, a: int, b: int, form: str, words: list, taken: _Taken) -> tuple:
+    """A name as a candidate: a seed by the cue before it, or as all that a line holds under the closing of a letter."""
+    left, starts = _left(text, a)
+    before = left.split()
+    last = before[-1] if before else ""
+    seed = last in CUES or last in LABELS or last[-1:] == "." and last[:-1] in CUES
+    near = None
+    place = "f:" + form
+    if b == len(text) or text[b] == "\n" or text[b] in BLANKS and text[b : b + 24].strip(BLANKS)[:1] in ("", "\n"):
+        if not seed and last and left.strip().rstrip(",") in CLOSINGS:
             seed = True
-        if own_line:
+        if starts:
+            place += "line"
             line = a - len(left)
             above = text[max(0, line - 48) : max(0, line)].rstrip("\n" + BLANKS).rsplit("\n", 1)[-1].strip(BLANKS)
             seed = seed or above.rstrip(",") in CLOSINGS
-            end = b + len(text[b : b + 24]) - len(text[b : b + 24].lstrip(BLANKS))
-            near = taken.hit(max(0, line - 30), line) or taken.hit(end, end + 12)
-        elif text[b : b + 1] in _MARKS:
-            near = taken.hit(b, b + 4)
-        shape = f"f:{form or ''}" + " ".join(_case(w) for w, _, _ in words)
-        out.append(("name", "name" if seed else None, item, a, b, None, [shape + " line" * own_line, *(["c:near"] if near else []), *_context(text, before, b)], words))
+            near = taken.hit(max(0, line - 30), line) or taken.hit(b, b + 12)
+    elif text[b] in _MARKS:
+        near = taken.hit(b, b + 4)
+    return ("name", "name" if seed else None, text[a:b], a, b, None, [place, *(["c:near"] if near else []), *_context(text, before, b)], words)
