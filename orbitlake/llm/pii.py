@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.pii_spans import CUES, spans
+from orbitlake.llm.pii_spans import CUES, SEED_PATTERN, WORD_PATTERN, spans
 from orbitlake.operators.skew import hot_keys, lookup
 from orbitlake.runtime import Scratch
 
@@ -31,7 +31,7 @@ VETO_EXPECTED, VETO_SHARE = 10, 0.1
 PRIOR, FIRST_PRIOR = 5.0, 20.0
 #: The threshold of the first round, whose entities teach the contexts: words of names are shared with other things, shapes of numbers hardly.
 FIRST_DISCLOSURE = {"name": 0.9, "number": 0.5}
-ROUNDS = 3
+ROUNDS = 2
 #: A word that was expected in so many seeds, and is in none, is no part of a name.
 UNDECLARED = 8
 #: Terms of the candidate itself. They alone count in the first round, when contexts are known from declarations only.
@@ -39,8 +39,25 @@ INNER = ("w", "s", "p")
 KINDS = {"number": ["phone", "id_number"], "name": ["name"]}
 SEP = "\x1f"
 ROW = "grp string, kind string, item string, first int, last int, longer string, terms string, words string, cuts string"
-#: A word is looked up as common only if it makes up so much of all words, which bounds their number.
+#: A word counts as common only if it makes up so much of all capitalised words, which bounds their number.
 COMMON_SHARE = 1e-5
+#: And only if it was declared a person so much less often than the average word; a word that is a name too stays one.
+COMMON_RATIO = 0.03
+
+
+def common_words(docs: DataFrame) -> frozenset[str]:
+    """Capitalised words, in small letters, that were so often seen and so rarely declared persons that they are no names.
+
+    If they were names, chance alone would have declared them more often. They are collected: a word counts only if it makes up
+    COMMON_SHARE of all, so that there are at most 1 / COMMON_SHARE.
+    """
+    texts = docs.where("text is not null").select("text")
+    seen = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).alias("word")).select(F.lower("word").alias("word"), F.lit(0).alias("s"))
+    cued = texts.select(F.explode(F.regexp_extract_all("text", F.lit(SEED_PATTERN), F.lit(1))).alias("name")).select(F.explode(F.regexp_extract_all("name", F.lit(WORD_PATTERN), F.lit(0))).alias("word")).select(F.lower("word").alias("word"), F.lit(1).alias("s"))
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("s")).unionAll(cued.groupBy("word").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("s"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s")))
+    expected = F.col("n") * F.col("all_s") / F.col("all_n")
+    return frozenset(r[0] for r in counts.crossJoin(total).where((expected >= VETO_EXPECTED) & (F.col("s") < COMMON_RATIO * expected) & (F.col("n") >= COMMON_SHARE * F.col("all_n"))).select("word").collect())
 
 
 def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -49,13 +66,14 @@ def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     terms and the words of a name are joined by SEP; cuts has first and last of each word, counted from the start of the item.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
+    common = common_words(docs)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "grp", "kind", "item", "first", "last", "longer", "terms", "words", "cuts"]
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                for grp, kind, item, a, b, longer, terms, words in spans(text):
+                for grp, kind, item, a, b, longer, terms, words in spans(text, common):
                     rows.append((doc, grp, kind, item, a, b, longer, SEP.join(terms), SEP.join([w for w, _, _ in words]).lower(), " ".join([f"{x} {y}" for _, x, y in words])))
             yield pd.DataFrame(rows, columns=names)
 
@@ -66,34 +84,6 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def uncommon(found: DataFrame) -> DataFrame:
-    """found without the common words: words of names that, seen so often, would have been declared persons by chance alone if they were names.
-
-    Such words are cut off the ends of a name, and become its context; a name of nothing else is dropped. They are collected, as there
-    are at most 1 / COMMON_SHARE of them. Rows of other groups stay as they are.
-    """
-    names = found.where("grp = 'name'")
-    each = names.select(F.col("kind").isNotNull().alias("seed"), F.explode(F.split("words", SEP)).alias("word"))
-    counts = each.groupBy("word").agg(F.count("*").alias("n"), F.count_if("seed").alias("n_seed"))
-    total = each.agg(F.count("*").alias("n"), F.count_if("seed").alias("s")).first()
-    share = (total["s"] or 0) / max(total["n"], 1)
-    common = [r[0] for r in counts.where((F.col("n") * share >= VETO_EXPECTED) & (F.col("n_seed") < VETO_SHARE * share * F.col("n")) & (F.col("n") >= COMMON_SHARE * total["n"]) & ~F.col("word").rlike(r"^\p{L}\.$")).select("word").collect()]
-    words = F.split("words", SEP)
-    kept = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.col("_w")[i].isin(common)) if common else F.sequence(F.lit(0), F.size(words) - 1)
-    out = names.withColumn("_w", words).withColumn("_k", kept).where("size(_k) > 0").withColumn("_lo", F.array_min("_k")).withColumn("_hi", F.array_max("_k")).withColumn("_n", F.size("_w"))
-    at, terms = F.split("cuts", " "), F.split("terms", SEP)
-    whole = (F.col("_lo") == 0) & (F.col("_hi") == F.col("_n") - 1)
-    start = F.when(F.col("_lo") > 0, at[2 * F.col("_lo")].cast("int")).otherwise(0)
-    end = F.when(F.col("_hi") < F.col("_n") - 1, at[2 * F.col("_hi") + 1].cast("int")).otherwise(F.length("item"))
-    moved = F.array_join(F.transform(F.slice(at, 2 * F.col("_lo") + 1, 2 * (F.col("_hi") - F.col("_lo") + 1)), lambda x: (x.cast("int") - start).cast("string")), " ")
-    terms = F.transform(terms, lambda t: F.when((F.col("_lo") > 0) & t.startswith("l1:"), F.concat(F.lit("l1:"), F.col("_w")[F.col("_lo") - 1])).when((F.col("_lo") > 0) & t.startswith("l2:"), F.concat(F.lit("l1:"), F.col("_w")[F.col("_lo") - 1])).when((F.col("_hi") < F.col("_n") - 1) & t.startswith("r1:"), F.concat(F.lit("r1:"), F.col("_w")[F.col("_hi") + 1])).otherwise(t))
-    cut = out.select(
-        "doc_id", "grp", "kind", F.when(whole, F.col("item")).otherwise(F.col("item").substr(start + 1, end - start)).alias("item"), (F.col("first") + start).cast("int").alias("first"), (F.col("first") + end).cast("int").alias("last"), "longer",
-        F.when(whole, F.col("terms")).otherwise(F.array_join(F.array_distinct(terms), SEP)).alias("terms"), F.array_join(F.slice("_w", F.col("_lo") + 1, F.col("_hi") - F.col("_lo") + 1), SEP).alias("words"), F.when(whole, F.col("cuts")).otherwise(moved).alias("cuts"),
-    )
-    return found.where("grp != 'name'").unionByName(cut)
-
-
 def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """h, terms, words, kind, told, score, low and high of the candidates, by words and context, whose terms disclose an entity.
 
@@ -165,7 +155,7 @@ def accepted(found: DataFrame, scratch: Scratch) -> DataFrame:
     whole = found.where("grp = 'form' and longer is not null").join(known, "terms", "left")
     ended = whole.select("doc_id", "kind", F.when(F.col("known"), F.col("longer")).otherwise(F.col("item")).alias("item"), "first", F.when(F.col("known"), F.col("last")).otherwise(F.col("first") + F.length("item")).alias("last"), F.lit("form").alias("evidence"))
     streets = scratch.put(found.where("grp = 'open'").join(known, "terms").select("doc_id", "kind", "item", "first", "last", F.lit("disclosed").alias("evidence")))
-    rare = scratch.put(uncommon(found.where(F.col("grp").isin(*KINDS))))
+    rare = found.where(F.col("grp").isin(*KINDS))
     told = scratch.put(disclosed(rare, scratch))
     rows = rare.drop("kind").withColumn("h", F.xxhash64("grp", "terms", "words"))
     hot, _ = hot_keys(rows, ["h"], scratch)

@@ -78,6 +78,7 @@ _LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
 _WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
 _AT_MARK = re.compile(r"[\[({](?:at|AT|At)[\])}]")
 _DOTTED = re.compile(r"(?:[\[({ ]|\A)(?:dot|DOT|Dot)[\])} ]")
+_DIGIT = re.compile(r"\d")
 _NINES = str.maketrans("012345678", "999999999")
 _MARKS = {",", ";", ":", "<", "("}
 _DIGITS = re.compile(rf"\d(?:[{BLANKS}.\-‐‑/()]{{0,3}}\d){{5}}")
@@ -142,11 +143,11 @@ def _context(text: str, words: list[str], b: int) -> list[str]:
     return [f"l2:{' '.join(words)}", f"l1:{words[-1]}", f"r1:{after if after and after != chr(10) else '$'}"]
 
 
-def spans(text: str) -> list[tuple]:
+def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tuple]:
     """(group, kind, item, start, end, longer, terms, words), mostly without overlaps.
 
     group: form (kind holds), number or name (the corpus decides; kind is that of a seed, else null). longer: an address
-    with a town of two words where this is open. words: of a name, (word, start, end in the item) of each, so that the corpus can cut it.
+    with a town of two words where this is open. common: words in small letters that are cut off the ends of a name; a name of nothing else is none. words: of a name, (word, start, end in the item) of each, so that the corpus can cut it.
     """
     out: list = []
     taken = _Taken()
@@ -173,7 +174,8 @@ def spans(text: str) -> list[tuple]:
         for m in SPELLED.finditer(text):
             put("email", *m.span())
     done = 0
-    for hit in _STREET.finditer(text):
+    digits = _DIGIT.search(text)
+    for hit in _STREET.finditer(text) if digits else ():
         at = hit.start()
         if at < done:
             continue
@@ -186,7 +188,7 @@ def spans(text: str) -> list[tuple]:
                 put("address", m.start(), m.start() + len(longer or item), item, longer, [f"t:{town}"] if town else None)
                 done = m.end()
                 break
-    for m in OPEN_ADDRESS.finditer(text):
+    for m in OPEN_ADDRESS.finditer(text) if digits else ():
         if taken.hit(*m.span()) is None:
             out.append(("open", "address", m.group(), *m.span(), None, [f"t:{m['town']}"], []))
     done = 0
@@ -197,7 +199,7 @@ def spans(text: str) -> list[tuple]:
             done = m.end()
             _number(text, m, out, taken)
             m = _NUMBER.search(text, done, min(len(text), run.end() + 48))
-    _names(text, out, taken)
+    _names(text, out, taken, common)
     return out
 
 
@@ -216,9 +218,14 @@ def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
 
 
 SKIP = CUES | CLOSINGS
+#: For the first count of words, as patterns of the JVM: a capitalised word, and one to four of them after a cue.
+_JVM_WORD = r"\p{Lu}[\p{L}'’]*\p{L}(?:[-‐‑][\p{L}'’]+)*"
+WORD_PATTERN = rf"(?<![\p{{L}}\p{{N}}_@-]){_JVM_WORD}"
+_CLOSED = "|".join(sorted((c for c in CLOSINGS if c.isascii() or c[0].isalpha() or len(c) == 1), key=len, reverse=True))
+SEED_PATTERN = rf"(?<![\p{{L}}\p{{N}}_-])(?:(?:(?:{_CUES})\.?|{'|'.join(LABELS)})[ \u00a0]|(?:{_CLOSED}),?[ \u00a0]?\n*[ \u00a0]?)((?:(?:{_JVM_WORD}|\p{{Lu}}\.)[ \u00a0]?){{1,4}})"
 
 
-def _names(text: str, out: list, taken: _Taken) -> None:
+def _names(text: str, out: list, taken: _Taken, common: frozenset[str] | set[str]) -> None:
     small: dict[str, bool] = {}
     found: list[tuple[int, int, str]] = []
     if " by" in text:
@@ -237,7 +244,10 @@ def _names(text: str, out: list, taken: _Taken) -> None:
     for m in SEQUENCE.finditer(text):
         a, b = m.span()
         item = m.group()
-        if not item.isalpha():
+        if item.isalpha():
+            if item.lower() in common:
+                continue
+        else:
             if item[0].islower() and (lead := _LEADING.match(text, a, b)):
                 # "de" before a full name, or after a small word, is the preposition.
                 rest, before = text[lead.end() : b], text[max(0, a - 24) : a].split()
@@ -270,6 +280,16 @@ def _names(text: str, out: list, taken: _Taken) -> None:
                     continue
         else:
             words = [(w.group(), w.start(), w.end()) for w in _WORDS.finditer(item)]
+            if common and words:
+                low, high = 0, len(words)
+                while low < high and words[low][0].lower() in common:
+                    low += 1
+                while high > low and words[high - 1][0].lower() in common:
+                    high -= 1
+                if high - low < len(words):
+                    start, end = words[low][1] if low and low < len(words) else 0, words[high - 1][2] if high < len(words) else b - a
+                    words = [(w, x - start, y - start) for w, x, y in words[low:high]]
+                    a, b = a + start, a + end
             if not any(len(w) > 2 for w, _, _ in words):
                 continue
         out.append(_name(text, a, b, "", words, taken))
