@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.pii_spans import CUES, SEED_PATTERN, WORD_PATTERN, spans
+from orbitlake.llm.pii_spans import CLOSINGS, CUES, LABELS, RUN_PATTERN, spans
 from orbitlake.operators.skew import hot_keys, lookup
 from orbitlake.runtime import Scratch
 
@@ -51,10 +51,12 @@ def common_words(docs: DataFrame) -> frozenset[str]:
     If they were names, chance alone would have declared them more often. They are collected: a word counts only if it makes up
     COMMON_SHARE of all, so that there are at most 1 / COMMON_SHARE.
     """
-    texts = docs.where("text is not null").select("text")
-    seen = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).alias("word")).select(F.lower("word").alias("word"), F.lit(0).alias("s"))
-    cued = texts.select(F.explode(F.regexp_extract_all("text", F.lit(SEED_PATTERN), F.lit(1))).alias("name")).select(F.explode(F.regexp_extract_all("name", F.lit(WORD_PATTERN), F.lit(0))).alias("word")).select(F.lower("word").alias("word"), F.lit(1).alias("s"))
-    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("s")).unionAll(cued.groupBy("word").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("s"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    runs = docs.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(RUN_PATTERN), F.lit(0))).alias("run"))
+    words = runs.groupBy("run").count().select(F.transform(F.split("run", "[ \u00a0\n]+"), lambda w: F.rtrim(w, F.lit(".:,"))).alias("w"), "count")
+    cue = F.array_max(F.transform("w", lambda w, i: F.when(w.isin(sorted({*CUES, *(x.rstrip(":") for x in LABELS), *CLOSINGS})), i)))
+    each = words.select(F.posexplode("w").alias("at", "word"), cue.alias("cue"), "count").where("length(word) > 1")
+    after = F.coalesce((F.col("at") > F.col("cue")) & (F.col("at") <= F.col("cue") + 4), F.lit(False))
+    counts = each.groupBy(F.lower("word").alias("word")).agg(F.sum("count").alias("n"), F.sum(F.when(after, F.col("count")).otherwise(0)).alias("s"))
     total = F.broadcast(counts.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s")))
     expected = F.col("n") * F.col("all_s") / F.col("all_n")
     return frozenset(r[0] for r in counts.crossJoin(total).where((expected >= VETO_EXPECTED) & (F.col("s") < COMMON_RATIO * expected) & (F.col("n") >= COMMON_SHARE * F.col("all_n"))).select("word").collect())

@@ -66,7 +66,10 @@ STREETS = (
     "rue ", "avenue ", "place ", "quai ", "impasse ", "chemin ", "boulevard ", "allée ", "cours ", "square ", "passage ", "Calle ", "C/ ", "Plaza ", "Camino ", "Avenida ", "Avda", "Paseo ", "Ronda ", "Travesía ", "Callejón ",
 )
 
-_STREET = re.compile("|".join(re.escape(x) for x in sorted(STREETS, key=len, reverse=True)))
+#: Ends and starts of runs of capitalised words that may be streets.
+_STREET_ENDS = tuple({x.strip().rstrip(".") for x in STREETS if x.startswith(" ")} | {x.strip().rstrip(".") for x in STREETS if not x.startswith(" ") and x[0] in "swgpaudrS WPA" and x.strip() not in ("rue", "avenue", "place", "quai", "allée", "square", "passage")})
+_STREET_STARTS = {"Calle", "Plaza", "Camino", "Avenida", "Avda", "Paseo", "Ronda", "Travesía", "Callejón"}
+_FRENCH = re.compile(r"\d[a-z]?(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|place|quai|impasse|chemin|boulevard|allée|cours|square|passage)\s")
 #: House number, capitalised words, and a town: whether this is an address is for the corpus to say.
 OPEN_ADDRESS = re.compile(rf"(?<![\w.])(?:{_UNIT},{S})?\d+[a-z]?{S}(?:{_CAPS}{S}){{1,3}}[{U}][^\W\d_]+(?:,{S}{_UNIT})?(?:,{S}?|,?\n)(?P<town>{_TOWN}(?:{S}{_MORE})?)(?P<post>{_POST})?")
 _CUES = "|".join((*TITLES, *GREETINGS))
@@ -77,11 +80,11 @@ _TURNED = re.compile(TURNED)
 _LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
 _WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
 _AT_MARK = re.compile(r"[\[({](?:at|AT|At)[\])}]")
-_DOTTED = re.compile(r"(?:[\[({ ]|\A)(?:dot|DOT|Dot)[\])} ]")
+_DOTS = (" dot ", " DOT ", " Dot ", "(dot)", "[dot]", "{dot}", "(DOT)", "[DOT]", "{DOT}")
 _DIGIT = re.compile(r"\d")
 _NINES = str.maketrans("012345678", "999999999")
 _MARKS = {",", ";", ":", "<", "("}
-_DIGITS = re.compile(rf"\d(?:[{BLANKS}.\-‐‑/()]{{0,3}}\d){{5}}")
+_DIGITS = re.compile(rf"\d(?:[{BLANKS}.\-‐‑/()]{{0,3}}\d){{5,}}")
 _AFTER_BY = re.compile(rf"(?<!\w)(?i:(?:reported|written|signed|sent|approved) by){S}(?:{_CUT.pattern})*(?P<n>[^\W\d_][^\W\d_.'’-]*(?:[.'’-]?{S}?[^\W\d_]+){{0,4}})(?=,)")
 _LEFT = re.compile(r"(?:[\w'’-]+|[^\w\s])")
 _NUMBER = re.compile(rf"(?:{PHONE.pattern})|(?<![\w.+/@-])(?P<id>{ID})(?![\w]|[.\-]\d)")
@@ -101,6 +104,14 @@ def _town(m: re.Match) -> tuple[str, str | None, str | None]:
     return m.group(), None, None
 
 
+def _find(text: str, word: str) -> list[int]:
+    out, at = [], text.find(word)
+    while at >= 0:
+        out.append(at)
+        at = text.find(word, at + len(word))
+    return out
+
+
 class _Taken:
     """Disjoint intervals."""
 
@@ -170,17 +181,19 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
     if _AT_MARK.search(text):
         for m in BRACKETED.finditer(text):
             put("email", *m.span())
-    if _DOTTED.search(text):
+    if any(x in text for x in _DOTS):
         for m in SPELLED.finditer(text):
             put("email", *m.span())
     done = 0
     digits = _DIGIT.search(text)
-    for hit in _STREET.finditer(text) if digits else ():
-        at = hit.start()
+    sequences = list(SEQUENCE.finditer(text))
+    starts = [m.start() for m in sequences if m.group().endswith(_STREET_ENDS) or m.group().split(" ", 1)[0] in _STREET_STARTS] if digits else []
+    if digits:
+        starts += [m.start() for m in _FRENCH.finditer(text)] + _find(text, "C/ ")
+    for at in sorted(starts):
         if at < done:
             continue
-        a = max(done, at - 200)
-        for m in ADDRESS.finditer(text, a, min(len(text), at + 400)):
+        for m in ADDRESS.finditer(text, max(done, at - 40), min(len(text), at + 400)):
             if m.start() > at + 12:
                 break
             if m.end() > at:
@@ -192,14 +205,17 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
         if taken.hit(*m.span()) is None:
             out.append(("open", "address", m.group(), *m.span(), None, [f"t:{m['town']}"], []))
     done = 0
-    for run in _DIGITS.finditer(text):
-        a = max(done, run.start() - 6)
+    for run in _DIGITS.finditer(text) if digits else ():
+        g, a = run.group(), run.start()
+        if g.replace(".", "", 1).isdigit() and (len(g) < 9 or "." in g) and not (a and (text[a - 1].isalpha() or text[a - 1] in "+-(")) and not text[run.end() : run.end() + 2].lstrip("-‐‑")[:1].isalpha():
+            continue  # a step or a decimal number
+        a = max(done, a - 6)
         m = _NUMBER.search(text, a, min(len(text), run.end() + 48))
         while m and m.start() < run.end():
             done = m.end()
             _number(text, m, out, taken)
             m = _NUMBER.search(text, done, min(len(text), run.end() + 48))
-    _names(text, out, taken, common)
+    _names(text, sequences, out, taken, common)
     return out
 
 
@@ -218,14 +234,11 @@ def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
 
 
 SKIP = CUES | CLOSINGS
-#: For the first count of words, as patterns of the JVM: a capitalised word, and one to four of them after a cue.
-_JVM_WORD = r"\p{Lu}[\p{L}'’]*\p{L}(?:[-‐‑][\p{L}'’]+)*"
-WORD_PATTERN = rf"(?<![\p{{L}}\p{{N}}_@-]){_JVM_WORD}"
-_CLOSED = "|".join(sorted((c for c in CLOSINGS if c.isascii() or c[0].isalpha() or len(c) == 1), key=len, reverse=True))
-SEED_PATTERN = rf"(?<![\p{{L}}\p{{N}}_-])(?:(?:(?:{_CUES})\.?|{'|'.join(LABELS)})[ \u00a0]|(?:{_CLOSED}),?[ \u00a0]?\n*[ \u00a0]?)((?:(?:{_JVM_WORD}|\p{{Lu}}\.)[ \u00a0]?){{1,4}})"
+#: For the first count of words, as a pattern of the JVM: a run of capitalised words.
+RUN_PATTERN = r"(?<![\p{L}\p{N}_@-])\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+(?:[ \u00a0\n]{1,2}\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+)*+"
 
 
-def _names(text: str, out: list, taken: _Taken, common: frozenset[str] | set[str]) -> None:
+def _names(text: str, sequences: list, out: list, taken: _Taken, common: frozenset[str] | set[str]) -> None:
     small: dict[str, bool] = {}
     found: list[tuple[int, int, str]] = []
     if " by" in text:
@@ -241,7 +254,7 @@ def _names(text: str, out: list, taken: _Taken, common: frozenset[str] | set[str
         if any(len(w) > 2 for w, _, _ in words):
             out.append(_name(text, a, b, form, words, taken))
     busy = bool(taken.starts)
-    for m in SEQUENCE.finditer(text):
+    for m in sequences:
         a, b = m.span()
         item = m.group()
         if item.isalpha():
