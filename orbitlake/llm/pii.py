@@ -54,9 +54,9 @@ def common_words(docs: DataFrame) -> frozenset[str]:
     runs = docs.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(RUN_PATTERN), F.lit(0))).alias("run"))
     words = runs.groupBy("run").count().select(F.transform(F.split("run", "[ \u00a0\n]+"), lambda w: F.rtrim(w, F.lit(".:,"))).alias("w"), "count")
     cue = F.array_max(F.transform("w", lambda w, i: F.when(w.isin(sorted({*CUES, *(x.rstrip(":") for x in LABELS), *CLOSINGS})), i)))
-    each = words.select(F.posexplode("w").alias("at", "word"), cue.alias("cue"), "count").where("length(word) > 1")
-    after = F.coalesce((F.col("at") > F.col("cue")) & (F.col("at") <= F.col("cue") + 4), F.lit(False))
-    counts = each.groupBy(F.lower("word").alias("word")).agg(F.sum("count").alias("n"), F.sum(F.when(after, F.col("count")).otherwise(0)).alias("s"))
+    seen = words.select(F.explode("w").alias("word"), F.col("count").alias("n"), F.lit(0).cast("long").alias("s"))
+    declared = words.select(F.explode(F.slice("w", F.coalesce(cue, F.size("w")) + 2, F.lit(4))).alias("word"), F.lit(0).cast("long").alias("n"), F.col("count").alias("s"))
+    counts = seen.unionAll(declared).where("length(word) > 1").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = F.broadcast(counts.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s")))
     expected = F.col("n") * F.col("all_s") / F.col("all_n")
     return frozenset(r[0] for r in counts.crossJoin(total).where((expected >= VETO_EXPECTED) & (F.col("s") < COMMON_RATIO * expected) & (F.col("n") >= COMMON_SHARE * F.col("all_n"))).select("word").collect())
