@@ -1 +1 @@
-
+"""Analyses of frames that arrive one after another."""
