@@ -50,6 +50,11 @@ def msd(trajectory: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, each.groupBy("step").agg(F.avg("sq").alias("msd"))
 
 
+def squares(moved: DataFrame) -> DataFrame:
+    """Adds sq, the squared distance between x, y, z and x0, y0, z0; nothing is unwrapped."""
+    return moved.withColumn("sq", sum(((F.col(c) - F.col(f"{c}0")) * (F.col(c) - F.col(f"{c}0")) for c in "xyz"), F.lit(0.0)))
+
+
 def clusters(pairs: DataFrame, pts: DataFrame, scratch: Scratch, min_size: int = 1) -> DataFrame:
     """frame_id, id, cluster_id: components of the neighbour graph, numbered from 0 by their lowest atom; -1 in clusters under min_size."""
     roots = components(pairs.select(F.col("frame_id").alias("scope"), F.col("i").alias("u"), F.col("j").alias("v")), scratch)
@@ -139,6 +144,23 @@ def assign(rows: DataFrame, key: str, cols: list[str], centroids: list[list[floa
     return rows.withColumn("label", best["label"]).select(key, *cols, "label")
 
 
+def spread_starts(rows: DataFrame, key: str, cols: list[str], k: int, seed: int) -> list[list[float]]:
+    """k starting centroids: each is drawn with a chance in proportion to the squared distance from those before it, the first evenly.
+
+    The draw keeps the row with the greatest u ** (1 / weight), u being a hash of seed, draw and key, so that it is one aggregation and the same
+    for the same seed, however rows are spread. Fewer different rows than k give fewer centroids.
+    """
+    out: list[list[float]] = []
+    for n in range(k):
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), F.col(key)), F.lit(1 << 52)) + 1) / float(1 << 52)
+        near = F.least(*[sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(cols, m)), F.lit(0.0)) for m in out], F.lit(float("inf"))) if out else F.lit(1.0)
+        best = rows.select(near.alias("w"), u.alias("u"), *cols).where("w > 0").agg(F.max(F.struct((F.log("u") / F.col("w")).alias("s"), *cols)).alias("b")).first()["b"]
+        if best is None:
+            break
+        out.append([float(best[c]) for c in cols])
+    return out
+
+
 def kmeans(rows: DataFrame, key: str, cols: list[str], centroids: list[list[float]], rounds: int = 100) -> tuple[DataFrame, list[list[float]]]:
     """Lloyd's iteration from given centroids until they move less than 1e-8 together; an empty cluster keeps its centroid."""
     for _ in range(rounds):

@@ -49,8 +49,9 @@ def _pairs(left: DataFrame, right: DataFrame, half: bool, cutoff: float) -> Data
     if half:
         sent = sent.where((F.col("s1") > F.col("c1")) | ((F.col("s1") == F.col("c1")) & ((F.col("s2") > F.col("c2")) | ((F.col("s2") == F.col("c2")) & (F.col("s3") >= F.col("c3"))))))
     same = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("s3") == F.col("c3"))
-    sent = sent.select("frame_id", F.col("id").alias("a"), "f1", "f2", "f3", *B.H, *B.P, same.alias("same"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("s3").alias("c3"))
-    there = right.select("frame_id", F.col("id").alias("b"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("f3").alias("g3"), "c1", "c2", "c3")
+    # The box goes with the points that are there once, not with the copies.
+    sent = sent.select("frame_id", F.col("id").alias("a"), "f1", "f2", "f3", same.alias("same"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("s3").alias("c3"))
+    there = right.select("frame_id", F.col("id").alias("b"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("f3").alias("g3"), *B.H, *B.P, "c1", "c2", "c3")
     met = sent.join(there, ["frame_id", "c1", "c2", "c3"])
     if half:
         met = met.where(~F.col("same") | (F.col("a") < F.col("b")))

@@ -149,23 +149,29 @@ def cluster_sizes_filtered(spark, d):
     return found.groupBy("frame_id", "cluster_id").agg(F.count("*").alias("size"))
 
 
-TRAJECTORY = "traj AS (SELECT t::INT step, vec_id particle, embedding[3*t+1]::DOUBLE x, embedding[3*t+2]::DOUBLE y, embedding[3*t+3]::DOUBLE z FROM embeddings, range(21) r(t))"
-SQUARES = "sq AS (SELECT a.step, a.particle, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) sq FROM traj a JOIN traj b ON a.particle = b.particle AND b.step = 0)"
+TRAJECTORY = f"""WITH {POINTS}, f AS (SELECT frame_id, any_value(source_code) source_code, any_value(md_step) md_step FROM frames WHERE source_code IS NOT NULL AND md_step IS NOT NULL GROUP BY 1),
+o AS (SELECT *, first_value(frame_id) OVER (PARTITION BY source_code ORDER BY md_step, frame_id) f0 FROM f),
+sq AS (SELECT o.source_code, o.frame_id, o.md_step, a.id, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) sq FROM o JOIN pts a ON a.frame_id = o.frame_id JOIN pts b ON b.frame_id = o.f0 AND b.id = a.id)"""
 
 
 def _trajectory(spark, d):
-    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("particle"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("step"))
-    return t.select("step", "particle", *[F.col("embedding")[3 * F.col("step") + k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    """The frames of each source in the order of their steps, with the atoms that the first frame of the source holds too."""
+    f = table(spark, d, "frames").where("source_code is not null and md_step is not null").groupBy("frame_id").agg(F.min("source_code").alias("source_code"), F.min("md_step").alias("md_step"))
+    first = f.groupBy("source_code").agg(F.min(F.struct("md_step", "frame_id"))["frame_id"].alias("f0"))
+    f = f.join(first, "source_code")
+    pts = _points(spark, d).select("frame_id", "id", "x", "y", "z")
+    start = pts.join(first.withColumnRenamed("f0", "frame_id"), "frame_id").select("source_code", "id", *[F.col(c).alias(f"{c}0") for c in "xyz"])
+    return pts.join(f, "frame_id").join(start, ["source_code", "id"])
 
 
-@query(f"WITH {TRAJECTORY}, {SQUARES} SELECT step, round(avg(sq), 9) msd FROM sq GROUP BY step")
+@query(f"{TRAJECTORY} SELECT source_code, frame_id, md_step, count(*) n, round(avg(sq), 5)+0.0 msd FROM sq GROUP BY 1, 2, 3")
 def msd_series(spark, d):
-    return analysis.msd(_trajectory(spark, d))[1].select("step", F.round("msd", 9).alias("msd"))
+    return analysis.squares(_trajectory(spark, d)).groupBy("source_code", "frame_id", "md_step").agg(F.count("*").alias("n"), (F.round(F.avg("sq"), 5) + F.lit(0.0)).alias("msd"))
 
 
-@query(f"WITH {TRAJECTORY}, {SQUARES} SELECT step, particle, round(sq, 9) sq FROM sq")
+@query(f"{TRAJECTORY} SELECT frame_id, id, round(sq, 6)+0.0 sq FROM sq")
 def msd_per_particle(spark, d):
-    return analysis.msd(_trajectory(spark, d))[0].select("step", "particle", F.round("sq", 9).alias("sq"))
+    return analysis.squares(_trajectory(spark, d)).select("frame_id", "id", (F.round("sq", 6) + F.lit(0.0)).alias("sq"))
 
 
 MOMENTS = f"""WITH {POINTS}, {BOXES}, mol AS (SELECT * FROM pts WHERE molecule_id > 0), heads AS (SELECT frame_id, molecule_id, arg_min(x, id) x0, arg_min(y, id) y0, arg_min(z, id) z0 FROM mol GROUP BY 1, 2),
@@ -346,13 +352,14 @@ def energy_angle_harmonic(spark, d):
     return forcefield.sum_energy(rows, forcefield.harmonic(F.col("theta"), F.col("k0"), F.col("theta0")), ["frame_id"]).select("frame_id", F.round("energy", 3).alias("energy"))
 
 
-@query(f"""{SELF}, e AS (SELECT frame_id, CASE WHEN (i+j)%2=0 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END eps, CASE WHEN (i+j)%2=0 THEN 2.25::DOUBLE ELSE 1.44::DOUBLE END s2, dist_sq FROM pairs WHERE dist_sq > 0.25)
-SELECT frame_id, round(sum(4*eps*(power(s2/dist_sq, 6)-power(s2/dist_sq, 3))), 2) energy FROM e GROUP BY 1""")
+@query(f"""{SELF}, e AS (SELECT frame_id, CASE WHEN (i+j)%2=0 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END eps, CASE WHEN (i+j)%2=0 THEN 2.25::DOUBLE ELSE 1.44::DOUBLE END s2, dist_sq FROM pairs WHERE dist_sq >= 1e-24),
+t AS (SELECT frame_id, sum(4*eps*(power(s2/dist_sq, 6)-power(s2/dist_sq, 3))) energy FROM e GROUP BY 1), x AS (SELECT frame_id, energy, floor(log10(abs(energy)))::INT exponent FROM t WHERE energy <> 0) SELECT frame_id, round(energy / power(10.0, exponent), 6) mantissa, exponent FROM x""")
 def energy_lj(spark, d):
-    """Only coincident points are left out. The SQL leaves out all pairs within 0.5, so that it has less energy in frames with such pairs."""
+    """Of all pairs within the cutoff but coincident ones. Close contacts make sums of any size, so that they come as mantissa and power of ten."""
     pairs = neighbors.pairs_self(_points(spark, d), _boxes(spark, d), CUTOFF).where("dist_sq >= 1e-24")
     rows = forcefield.with_parameters(_typed(pairs, "i", "j"), HARMONIC.table(spark, "pair", "lj/cut"))
-    return forcefield.sum_energy(rows, forcefield.lennard_jones(F.sqrt("dist_sq"), F.col("epsilon"), F.col("sigma")), ["frame_id"]).select("frame_id", F.round("energy", 2).alias("energy"))
+    total = forcefield.sum_energy(rows, forcefield.lennard_jones(F.sqrt("dist_sq"), F.col("epsilon"), F.col("sigma")), ["frame_id"]).where("energy != 0")
+    return total.withColumn("exponent", F.floor(F.log10(F.abs("energy"))).cast("int")).select("frame_id", F.round(F.col("energy") / F.pow(F.lit(10.0), F.col("exponent").cast("double")), 6).alias("mantissa"), "exponent")
 
 
 @query(f"""{SELF}, e AS (SELECT frame_id, sqrt(dist_sq)/3.2 q FROM pairs) SELECT frame_id, round(sum(0.05*power(1.07/(q+0.07), 7)*(1.12/(power(q, 7)+0.12)-2.0)), 3) energy FROM e GROUP BY 1""")
@@ -418,14 +425,23 @@ def pca_2(spark, d):
     return analysis.pca(table(spark, d, "embeddings"), "embedding", "vec_id")
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b FROM embeddings), k AS (SELECT *, a*a+b*b d0, (a-1)*(a-1)+(b-1)*(b-1) d1, (a+1)*(a+1)+(b-1)*(b-1) d2 FROM e) SELECT vec_id, a, b, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END::INT label FROM k""")
+def _components(spark, d):
+    """The two principal components, which k-means clusters."""
+    return Scratch(spark, "components").put(analysis.pca(table(spark, d, "embeddings"), "embedding", "vec_id"))
+
+
+@query()
 def kmeans_assign(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("ab")])
-    return analysis.assign(rows, "vec_id", ["a", "b"], [[0.0, 0.0], [1.0, 1.0], [-1.0, 1.0]])
+    return analysis.assign(_components(spark, d), "vec_id", ["pc1", "pc2"], [[0.0, 0.0], [1.0, 1.0], [-1.0, 1.0]])
 
 
 @query()
 def kmeans_fixed_init(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("ab")])
-    return analysis.kmeans(rows, "vec_id", ["a", "b"], [[0.0, 0.0], [1.0, 1.0], [-1.0, 1.0]])[0]
+    return analysis.kmeans(_components(spark, d), "vec_id", ["pc1", "pc2"], [[0.0, 0.0], [1.0, 1.0], [-1.0, 1.0]])[0]
 
+
+@query()
+def kmeans_seeded(spark, d):
+    """Eight clusters from k-means++ starts."""
+    rows = _components(spark, d)
+    return analysis.kmeans(rows, "vec_id", ["pc1", "pc2"], analysis.spread_starts(rows, "vec_id", ["pc1", "pc2"], 8, seed=7))[0]
