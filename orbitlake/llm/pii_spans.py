@@ -235,7 +235,7 @@ def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
 
 SKIP = CUES | CLOSINGS
 #: For the first count of words, as a pattern of the JVM: a run of capitalised words.
-RUN_PATTERN = r"(?<![\p{L}\p{N}_@-])\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+(?:[ \u00a0\n]{1,2}\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+)*+"
+RUN_PATTERN = r"(?<![\p{L}\p{N}_@-])\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+(?:[ \u00a0]\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+)*+"
 
 
 def _names(text: str, sequences: list, out: list, taken: _Taken, common: frozenset[str] | set[str]) -> None:
