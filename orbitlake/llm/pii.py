@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +46,14 @@ COMMON_SHARE = 1e-5
 COMMON_RATIO = 0.03
 
 
-def common_words(docs: DataFrame) -> frozenset[str]:
+def common_words(docs: DataFrame, scratch: Scratch) -> frozenset[str]:
     """Capitalised words, in small letters, that were so often seen and so rarely declared persons that they are no names.
 
     If they were names, chance alone would have declared them more often. They are collected: a word counts only if it makes up
     COMMON_SHARE of all, so that there are at most 1 / COMMON_SHARE.
     """
     runs = docs.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(RUN_PATTERN), F.lit(0))).alias("run"))
-    words = runs.groupBy("run").count().select(F.transform(F.split("run", "[ \u00a0\n]+"), lambda w: F.rtrim(w, F.lit(".:,"))).alias("w"), "count")
+    words = scratch.put(runs.groupBy("run").count()).select(F.transform(F.split("run", "[ \u00a0\n]+"), lambda w: F.rtrim(w, F.lit(".:,"))).alias("w"), "count")
     cue = F.array_max(F.transform("w", lambda w, i: F.when(w.isin(sorted({*CUES, *(x.rstrip(":") for x in LABELS), *CLOSINGS})), i)))
     seen = words.select(F.explode("w").alias("word"), F.col("count").alias("n"), F.lit(0).cast("long").alias("s"))
     declared = words.select(F.explode(F.slice("w", F.coalesce(cue, F.size("w")) + 2, F.lit(4))).alias("word"), F.lit(0).cast("long").alias("n"), F.col("count").alias("s"))
@@ -68,18 +69,23 @@ def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     terms and the words of a name are joined by SEP; cuts has first and last of each word, counted from the start of the item.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
-    common = common_words(docs)
+    common = common_words(docs, scratch)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "grp", "kind", "item", "first", "last", "longer", "terms", "words", "cuts"]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()] * 4
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            at, cols = [], [[] for _ in kinds]
+            add = [c.append for c in cols]
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 for grp, kind, item, a, b, longer, terms, words in spans(text, common):
-                    rows.append((doc, grp, kind, item, a, b, longer, SEP.join(terms), SEP.join([w for w, _, _ in words]).lower(), " ".join([f"{x} {y}" for _, x, y in words])))
-            yield pd.DataFrame(rows, columns=names)
-
-    return scratch.put(docs.where("text is not null and text != ''").select("doc_id", "text").mapInPandas(read, f"doc_id {key}, {ROW}"))
+                    at.append(k)
+                    row = (grp, kind, item, a, b, longer, SEP.join(terms), SEP.join([w for w, _, _ in words]).lower() if words else "", " ".join([f"{x} {y}" for _, x, y in words]))
+                    for put, v in zip(add, row):
+                        put(v)
+            names = ["doc_id", "grp", "kind", "item", "first", "last", "longer", "terms", "words", "cuts"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=names)
+
+    return scratch.put(docs.where("text is not null and text != ''").select("doc_id", "text").mapInArrow(read, f"doc_id {key}, {ROW}"))
 
 
 def _logit(p: Column) -> Column:
