@@ -235,3 +235,44 @@ def matches(df: DataFrame, pattern: str) -> DataFrame:
     """df with one row for each embedding of the pattern in the molecule of column smiles: match (from 0), atoms. Raises NotationError for the pattern at once."""
     smiles.Pattern(pattern)
     return _per_text(df, "match int, atoms array<int>", lambda t: [(k, list(x)) for k, x in enumerate(smiles.pattern(pattern).find(m))] if (m := _mol(t)) else [])
+
+
+def embed(df: DataFrame, seed: int = 0, quality: str = "medium", hydrogens: bool = True) -> DataFrame:
+    """df with a row for each atom of the molecule of column smiles: atom, element, x, y, z, energy (of the whole molecule) and warnings.
+
+    Hydrogens are added first unless asked otherwise. Texts with a fault have no rows; equal texts have equal places.
+    """
+    from orbitlake.functions.embed import embed as place
+
+    def rows(text: str) -> list[tuple]:
+        mol = _mol(text)
+        if mol is None:
+            return []
+        mol = M.hydrogenated(mol) if hydrogens else mol
+        x, report = place(mol, seed, quality)
+        return [(k, a.element, *map(float, x[k]), report.energies["final"], report.warnings) for k, a in enumerate(mol.atoms)]
+
+    return _per_text(df, "atom int, element string, x double, y double, z double, energy double, warnings array<string>", rows)
+
+
+def backmap(beads: DataFrame, mapping: DataFrame, templates: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Atoms and bonds of coarse frames: each bead is replaced by its atoms, placed as its template has them about the place of the bead.
+
+    beads: frame_id, bead, kind, x, y, z; mapping: frame_id, bead, id, slot; templates: kind, slot, element, dx, dy, dz, a small table; bonds: frame_id, i, j of
+    the atoms, of which those within one bead come back. A bead without atoms in the mapping, or a slot without a template, raises when it runs.
+    """
+    keys = ["frame_id", "bead"]
+    met = beads.join(mapping, keys, "left").join(F.broadcast(templates), ["kind", "slot"], "left")
+    fault = F.when(F.col("id").isNull(), F.raise_error(F.lit("a bead has no atoms"))).when(F.col("dx").isNull(), F.raise_error(F.lit("a slot has no template"))).otherwise(True)
+    atoms = met.where(fault).select("frame_id", "id", "element", *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"], "bead")
+    kept = bonds
+    for e in "ij":
+        kept = kept.join(mapping.select("frame_id", F.col("id").alias(e), F.col("bead").alias(f"bead_{e}")), ["frame_id", e])
+    return atoms, kept.where("bead_i = bead_j").select("frame_id", "i", "j")
+
+
+def check_mapping(mapping: DataFrame, atoms: DataFrame) -> DataFrame:
+    """frame_id, id, fault of a mapping of atoms to beads (frame_id, bead, id): atoms that are not there, or are in several beads."""
+    gone = mapping.join(atoms.select("frame_id", "id"), ["frame_id", "id"], "left_anti").select("frame_id", "id", F.lit("no such atom").alias("fault")).distinct()
+    twice = mapping.groupBy("frame_id", "id").agg(F.count_distinct("bead").alias("n")).where("n > 1").select("frame_id", "id", F.lit("in several beads").alias("fault"))
+    return gone.unionByName(twice)

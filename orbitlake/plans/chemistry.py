@@ -188,3 +188,10 @@ def smarts_matches(spark, d):
 def smarts_hydroxyl(spark, d):
     """Every hydroxyl group on a carbon that is not that of an acid."""
     return molecules.matches(notations(spark, d), "[OX2;H1][#6;!$(C=O)]")
+
+
+@query()
+def embed_3d(spark, d):
+    """Places in space of every molecule that the texts name, with hydrogens."""
+    got = molecules.embed(notations(spark, d), quality="fast")
+    return got.select("smiles", "atom", "element", *[F.round(c, 3).alias(c) for c in "xyz"])
