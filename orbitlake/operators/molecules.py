@@ -252,7 +252,9 @@ def embed(df: DataFrame, seed: int = 0, quality: str = "medium", hydrogens: bool
         x, report = place(mol, seed, quality)
         return [(k, a.element, *map(float, x[k]), report.energies["final"], report.warnings) for k, a in enumerate(mol.atoms)]
 
-    return _per_text(df, "atom int, element string, x double, y double, z double, energy double, warnings array<string>", rows)
+    # Few rows mean much work here, so that they are spread over all cores whatever their size.
+    spread = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return _per_text(spread, "atom int, element string, x double, y double, z double, energy double, warnings array<string>", rows)
 
 
 def backmap(beads: DataFrame, mapping: DataFrame, templates: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:

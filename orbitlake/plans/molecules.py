@@ -353,13 +353,13 @@ def energy_angle_harmonic(spark, d):
 
 
 @query(f"""{SELF}, e AS (SELECT frame_id, CASE WHEN (i+j)%2=0 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END eps, CASE WHEN (i+j)%2=0 THEN 2.25::DOUBLE ELSE 1.44::DOUBLE END s2, dist_sq FROM pairs WHERE dist_sq >= 1e-24),
-t AS (SELECT frame_id, sum(4*eps*(power(s2/dist_sq, 6)-power(s2/dist_sq, 3))) energy FROM e GROUP BY 1), x AS (SELECT frame_id, energy, floor(log10(abs(energy)))::INT exponent FROM t WHERE energy <> 0) SELECT frame_id, round(energy / power(10.0, exponent), 6) mantissa, exponent FROM x""")
+t AS (SELECT frame_id, sum(4*eps*(power(s2/dist_sq, 6)-power(s2/dist_sq, 3))) energy FROM e GROUP BY 1), x AS (SELECT frame_id, energy, floor(log10(abs(energy)))::INT exponent FROM t WHERE energy <> 0) SELECT frame_id, printf('%.9fe%d', energy / power(10.0, exponent), exponent)::DOUBLE energy FROM x""")
 def energy_lj(spark, d):
-    """Of all pairs within the cutoff but coincident ones. Close contacts make sums of any size, so that they come as mantissa and power of ten."""
+    """Of all pairs within the cutoff but coincident ones. Close contacts make sums of any size, so that they are rounded to ten digits."""
     pairs = neighbors.pairs_self(_points(spark, d), _boxes(spark, d), CUTOFF).where("dist_sq >= 1e-24")
     rows = forcefield.with_parameters(_typed(pairs, "i", "j"), HARMONIC.table(spark, "pair", "lj/cut"))
     total = forcefield.sum_energy(rows, forcefield.lennard_jones(F.sqrt("dist_sq"), F.col("epsilon"), F.col("sigma")), ["frame_id"]).where("energy != 0")
-    return total.withColumn("exponent", F.floor(F.log10(F.abs("energy"))).cast("int")).select("frame_id", F.round(F.col("energy") / F.pow(F.lit(10.0), F.col("exponent").cast("double")), 6).alias("mantissa"), "exponent")
+    return total.withColumn("exponent", F.floor(F.log10(F.abs("energy"))).cast("int")).select("frame_id", F.format_string("%.9fe%d", F.col("energy") / F.pow(F.lit(10.0), F.col("exponent").cast("double")), "exponent").cast("double").alias("energy"))
 
 
 @query(f"""{SELF}, e AS (SELECT frame_id, sqrt(dist_sq)/3.2 q FROM pairs) SELECT frame_id, round(sum(0.05*power(1.07/(q+0.07), 7)*(1.12/(power(q, 7)+0.12)-2.0)), 3) energy FROM e GROUP BY 1""")
