@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +94,51 @@ def rotatable(atoms: DataFrame, bonds: DataFrame, scratch: Scratch) -> DataFrame
     return single.select("frame_id", "i", "j").join(ring_bonds(rings(atoms, bonds)), ["frame_id", "i", "j"], "left_anti")
 
 
-def downstream(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """frame_id, mol, i, j, ids: of each rotatable bond, the atoms on the side of j, which a rotation moves."""
-    return each(atoms, bonds, "i bigint, j bigint, ids array<bigint>", lambda mol, ids: [(ids[mol.bonds[k][0]], ids[mol.bonds[k][1]], [ids[x] for x in side]) for k, side in M.downstream_of_rotatable(mol)])
+#: Atoms on sides of bonds that one Arrow batch holds, or those of one bond.
+SIDE_ATOMS = 1_000_000
+
+
+def downstream(bonds: DataFrame, scratch: Scratch) -> DataFrame:
+    """frame_id, mol, i, j, ids: of each rotatable bond, the atoms on the side of j, which a rotation moves.
+
+    bonds: frame_id, i, j, bond_order, place, between atoms. An atom without a bond has no part in it, nor has a molecule of
+    two bonds, which can't turn about any. Molecules go to Python many at a time.
+    """
+    held = scratch.put(bonds.select("frame_id", "i", "j", "bond_order", "place"))
+    roots = components(held.select(F.col("frame_id").alias("scope"), F.col("i").alias("u"), F.col("j").alias("v")), scratch)
+    roots = roots.select(F.col("scope").alias("frame_id"), F.col("node").alias("i"), "root")
+    sorted_ = F.sort_array(F.collect_list(F.struct("place", "i", "j", "bond_order")))
+    mols = held.join(roots, ["frame_id", "i"], "left").groupBy("frame_id", F.coalesce("root", "i").alias("mol")).agg(sorted_.alias("b")).where(F.size("b") > 2)
+    mols = mols.select("frame_id", "mol", *[F.col(f"b.{c}").alias(c) for c in ("i", "j", "bond_order")])
+    kinds = [pa.int64()] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sides, n = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            ends = np.cumsum([0, *map(len, sides)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sides)))], names=["frame_id", "mol", "i", "j", "ids"])
+
+        for part in batches:
+            frames, names = part.column("frame_id").to_pylist(), part.column("mol").to_pylist()
+            for x, (frame, name) in enumerate(zip(frames, names)):
+                i, j, orders = (part.column(c)[x].values for c in ("i", "j", "bond_order"))
+                ids, at = np.unique(np.concatenate((i.to_numpy(), j.to_numpy())), return_inverse=True)
+                ends = at.reshape(2, -1).tolist()
+                mol = M.Molecule([M.Atom(None)] * len(ids), [(*e, o, None) for *e, o in zip(*ends, orders.to_pylist())])
+                for k, side in M.sides_of_rotatable(mol):
+                    if n and n + len(side) > SIDE_ATOMS:
+                        yield batch()
+                        rows, sides, n = [], [], 0
+                    u, v = mol.bonds[k][:2]
+                    rows.append((frame, name, int(ids[u]), int(ids[v])))
+                    sides.append(ids[side])
+                    n += len(side)
+        if rows:
+            yield batch()
+
+    return mols.mapInArrow(run, "frame_id bigint, mol bigint, i bigint, j bigint, ids array<bigint>")
 
 
 def valences() -> str:

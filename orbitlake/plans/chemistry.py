@@ -73,8 +73,7 @@ def rotatable_bonds(spark, d):
 
 @query()
 def downstream_atoms(spark, d):
-    atoms, bonds, _ = _split(spark, d)
-    return molecules.downstream(atoms, bonds)
+    return molecules.downstream(graph(spark, d)[1], Scratch(spark, "molecules"))
 
 
 _TARGET = "CASE lower(trim(element)) " + " ".join(f"WHEN '{s.lower()}' THEN [{', '.join(map(str, v))}]" for s, v in elements.VALENCES.items()) + " END"

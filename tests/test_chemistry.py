@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,17 @@ def test_hydrogens_charges_rotors():
     assert abs(sum(a + b for a, b in acid.values()) + 1) < 1e-9 and M.partial_charges(m("[H]")) == {} and M.hybridisation(m("CS(O)O"), 1) == "so2"
 
 
+def test_sides_of_long_chains():
+    n = 3000
+    mol = M.Molecule([M.Atom("C")] * n, [(k, k + 1, 1.0, None) for k in range(n - 1)] + [(0, 2, 1.0, None)])
+    began = time.process_time()
+    sides = dict(M.downstream_of_rotatable(mol))
+    assert sorted(sides) == list(range(2, n - 2)) and all(x == list(range(k + 1, n)) for k, x in sides.items())
+    assert time.process_time() - began < 5
+    two = M.Molecule([M.Atom("C")] * 9, [(1, 0, 1.0, None), (2, 1, None, None), (3, 2, 1.0, None), (5, 4, 1.0, None), (6, 5, 1.0, None), (5, 6, 1.0, None), (7, 6, 1.0, None), (8, 7, 1.0, None), (8, 8, 1.0, None)])
+    assert M.downstream_of_rotatable(two) == [(k, M.downstream(two, *two.bonds[k][:2])) for k in (1, 6, 7)] and M.rotatable(two) == [1, 6, 7]
+
+
 def test_elements():
     assert elements.by_symbol(" aU ") == 79 and elements.MASSES[78] == 197.0 and elements.NAMES[117] == "Oganesson" and elements.by_symbol("") is None and elements.by_symbol(None) is None
     assert len(elements.MASSES) == len(elements.COVALENT) == len(elements.VAN_DER_WAALS) == len(elements.NAMES) == len(elements.SYMBOLS) == 118
@@ -137,6 +149,18 @@ def test_tables(spark):
     assert molecules.rings(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_downstream(spark, monkeypatch):
+    scratch, (atoms, bonds) = Scratch(spark, "test"), frames(spark, [*TEXTS, "CCCCC", "CC(C)C(O)CC"])
+    a, b = molecules.split(atoms, bonds, scratch)
+    old = molecules.each(a, b, "i bigint, j bigint, ids array<bigint>", lambda m, ids: [(ids[m.bonds[k][0]], ids[m.bonds[k][1]], [ids[x] for x in M.downstream(m, *m.bonds[k][:2])]) for k in M.rotatable(m)])
+    want = sorted(tuple(r) for r in old.collect())
+    monkeypatch.setattr(molecules, "each", None)  # not one call of Python for each molecule
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(molecules, "SIDE_ATOMS", most)
+        assert sorted(tuple(r) for r in molecules.downstream(bonds, scratch).collect()) == want and len(want) > 6
+    assert molecules.downstream(bonds.limit(0), scratch).count() == 0
+
+
 def test_texts(spark):
     df = spark.createDataFrame([(1, "CCO", 5), (2, "C1C", 6), (3, None, 7), (4, "CCO", 8), (5, "", 9)], "k long, smiles string, atom int")
     a, b = molecules.parse(df)

@@ -37,6 +37,20 @@ def test_chain_star_empty(spark):
     check(spark, [])
 
 
+def test_contracted_in_bounds(spark, monkeypatch):
+    rnd = random.Random(7)
+    edges = [(s, rnd.randrange(60), rnd.randrange(60)) for s in (1, 2) for _ in range(50)] + [(3, k, k + 1) for k in range(200)]
+    for held in (100_000, 6):
+        monkeypatch.setattr("orbitlake.operators.components.LOCAL", held)
+        check(spark, edges)
+
+
+def test_chains_take_few_rounds(spark):
+    # Links that lie together are contracted beforehand, so that two rounds do.
+    edges = spark.range(2000).selectExpr("id div 500 scope", "id u", "id + 1 v").where("u % 500 < 499")
+    assert components(edges, Scratch(spark, "test"), max_rounds=3).where("root != scope * 500").count() == 0
+
+
 def test_hot_keys(spark, monkeypatch):
     monkeypatch.setattr("orbitlake.operators.skew.TASK_ROWS", 10)
     scratch = Scratch(spark, "test")
