@@ -190,9 +190,22 @@ def to_common(assigned: DataFrame, unitref: DataFrame) -> DataFrame:
     )
 
 
-def not_common(fields: DataFrame, unitref: DataFrame) -> DataFrame:
-    """field_id, unit_code, pow10 of the fields whose stated unit isn't the common one at scale 1. Repeated rows count once, by their latest row."""
-    slim = latest(fields.select("field_id", "quantity", "unit", "note", "ingested_at"), ["field_id"])
+def _uncommon(marked: DataFrame, unitref: DataFrame) -> DataFrame:
     common = unitref.where("is_common").select("quantity", F.col("unit_code").alias("_common"))
-    marked = stated_units(slim, unitref).where("stated.unit_code is not null").select("field_id", "quantity", "stated.unit_code", "stated.pow10")
     return marked.join(common.hint("broadcast"), "quantity", "left").where("_common is null or unit_code != _common or pow10 != 0").select("field_id", "unit_code", "pow10")
+
+
+def not_common(fields: DataFrame, unitref: DataFrame) -> DataFrame:
+    """field_id, unit_code, pow10 of the fields whose unit, as far as its text can be read, isn't the common one at scale 1. Repeated rows count once, by their latest row."""
+    slim = latest(fields.select("field_id", "quantity", "unit", "note", "ingested_at"), ["field_id"])
+    return _uncommon(stated_units(slim, unitref).where("stated.unit_code is not null").select("field_id", "quantity", "stated.unit_code", "stated.pow10"), unitref)
+
+
+def not_common_inferred(fields: DataFrame, unitref: DataFrame, scratch: Scratch, sure: float = 0.97) -> DataFrame:
+    """``not_common`` with the mixture for what is stated and can't be read: such a field counts with the unit and power that its samples show, if their posterior is ``sure`` at least.
+
+    Fields whose unit is stated nowhere teach the mixture, and are no cases. fields have one row each.
+    """
+    marked = assign_units(fields, unitref, scratch, sure)
+    told = F.col("unit_source").isin("note", "unit") | ((F.col("unit_source") == "unreadable") & (F.col("posterior") >= sure))
+    return _uncommon(marked.where(told), unitref)

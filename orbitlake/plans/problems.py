@@ -10,7 +10,7 @@ from orbitlake.runtime import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.not_common(table(spark, d, "gridfields"), table(spark, d, "unitref"))
+    return units.not_common_inferred(_fields(spark, d), table(spark, d, "unitref"), Scratch(spark, "units"))
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_powers_of_ten_and_unreadable(spark):
     assert sum(r.n for r in held) == sum(r.n_right for r in held) > 5
 
 
+def test_found_where_the_unit_cannot_be_read(spark, tmp_path):
+    from orbitlake.plans import problems
+
+    rows = [(k, "pressure", "bar", None, [1.0 + k % 7 / 50], None, 7) for k in range(60)] + [(100 + k, "pressure", "Pa", None, [1e5 + 1000.0 * k], None, 7) for k in range(20)]
+    rows += [(200, "pressure", "zorkmid", None, [1.04e5], None, 7), (201, "pressure", "zorkmid", None, [1.04], None, 7), (202, "pressure", None, None, [1.04e5], None, 7), (203, "pressure", "kPa", None, None, None, 7), (203, "pressure", "kPa", None, None, None, 7)]
+    spark.createDataFrame(rows, FIELDS).write.parquet(f"{tmp_path}/gridfields.parquet")
+    spark.createDataFrame([("pressure", "bar", 1.0, 0.0, True), ("pressure", "pascal", 1e-5, 0.0, False)], REF).write.parquet(f"{tmp_path}/unitref.parquet")
+    got = sorted(tuple(r) for r in problems.p1_found(spark, str(tmp_path)).collect())
+    assert got == [(100 + k, "pascal", 0) for k in range(20)] + [(200, "pascal", 0), (203, "pascal", 3)]
+
+
 def test_note_of_many_words():
     assert BOOK.stated("pressure", "bar", "Samples are in pascals " + "and so on " * 20_000)[0] == "pascal"
 
