@@ -98,8 +98,11 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
     found: the candidates; kind is set on seeds. A seed is disclosed by itself, whatever its terms; told is what the terms alone
     say. low and high are the first and last word kept. Equal candidates in equal context are one.
     """
-    sigs = found.where(F.col("grp").isin(*KINDS)).groupBy("grp", "terms", "words").agg(F.max("kind").alias("seed"))
-    sigs = scratch.put(sigs.withColumn("h", F.xxhash64("grp", "terms", "words")))
+    # Kinds and groups go through the aggregates as numbers: those of strings sort all their rows.
+    kinds = [k for ks in KINDS.values() for k in ks]
+    order = F.array(*map(F.lit, sorted(kinds)))
+    sigs = found.where(F.col("grp").isin(*KINDS)).groupBy("grp", "terms", "words").agg(F.max(F.array_position(order, F.col("kind"))).alias("seed"))
+    sigs = scratch.put(sigs.select("grp", "terms", "words", F.when(F.col("seed") > 0, F.get(order, F.col("seed").cast("int") - 1)).alias("seed"), F.xxhash64("grp", "terms", "words").alias("h")))
     inner = F.when(F.col("words") != "", F.transform(F.split("words", SEP), lambda w: F.concat(F.lit("w:"), w))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(inner, F.split("terms", SEP))
     parts = sigs.select("h", "grp", F.posexplode(texts).alias("at", "text")).select(
@@ -108,16 +111,15 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
     )
     each = scratch.put(parts)
     hot, _ = hot_keys(each, ["term"], scratch)
-    kinds = [k for ks in KINDS.values() for k in ks]
     is_ = {k: F.coalesce((F.col("kind") == k).cast("double"), F.lit(0.0)) for k in kinds}
     label, judged = scratch.put(sigs.select("h", "grp", F.col("seed").alias("kind"), F.col("seed").isNotNull().alias("seed"))), None
     for no in range(rounds):
         prior = PRIOR if no else FIRST_PRIOR
         least = F.lit(DISCLOSURE) if no else F.when(F.col("grp") == "name", FIRST_DISCLOSURE["name"]).otherwise(FIRST_DISCLOSURE["number"])
         marked = (each if no else each.where(F.col("t").isin(*INNER))).join(label.drop("grp"), "h")
-        counts = marked.groupBy("term").agg(F.first("grp").alias("g"), F.count("*").alias("n"), F.count_if("seed").alias("n_seed"), *[F.sum(is_[k]).alias(f"n_{k}") for k in kinds]).where("n > 1")
+        counts = marked.groupBy("term").agg(F.bool_or(F.col("grp") == "name").alias("g"), F.count("*").alias("n"), F.count_if("seed").alias("n_seed"), *[F.sum(is_[k]).alias(f"n_{k}") for k in kinds]).where("n > 1")
         base = label.groupBy("grp").agg(*[F.greatest(F.lit(1e-4), F.least(F.lit(0.9), F.avg(is_[k]))).alias(f"b_{k}") for k in kinds], F.avg(F.when(F.col("kind").isNotNull(), F.col("seed").cast("double"))).alias("declared"))
-        counts = scratch.put(counts.join(F.broadcast(base), F.col("g") == F.col("grp")).drop("g", "grp"))
+        counts = scratch.put(counts.join(F.broadcast(base), F.col("g") == (F.col("grp") == "name")).drop("g", "grp"))
         met = lookup(marked, counts, ["term"], hot, "inner")
         odds_of = {}
         for k in kinds:
@@ -133,7 +135,7 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
         for k, (lift, against) in odds_of.items():
             # A mark beside it may speak against a person, but for one only words, forms and places do.
             sums += [F.sum(F.when(F.col("mark"), F.least(lift, F.lit(0.0))).when(~(alien | cue), lift)).alias(f"s_{k}"), F.max(against & F.col("wordy")).alias(f"v_{k}"), F.max(f"b_{k}").alias(f"b_{k}")]
-        scored = met.groupBy("h").agg(F.first("grp").alias("grp"), *sums, F.collect_set(F.when(alien, F.col("at"))).alias("cut"), F.collect_set(F.when(cue, F.col("at"))).alias("lead"))
+        scored = met.groupBy("h").agg(*sums, F.collect_set(F.when(alien, F.col("at"))).alias("cut"), F.collect_set(F.when(cue, F.col("at"))).alias("lead"))
         odds = {k: F.when(F.col(f"v_{k}"), F.lit(-100.0)).otherwise(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)) + _logit(F.col(f"b_{k}"))) for k in kinds}
         raw = scratch.put(scored.select("h", "cut", "lead", *[(1 / (1 + F.exp(-odds[k]))).alias(f"p_{k}") for k in kinds]).join(label, "h"))
         # Only some entities are declared: in the first round, what the declared ones score on average is what a sure one scores.

@@ -25,6 +25,7 @@ ANYCASE = r"[^\W\d_][^\W\d_.'’-]*(?:[.'’ -]+[^\W\d_]+)*\.?"
 EMAIL = re.compile(r"[^\W_][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])(?!:/)")
 _AT, _DOT = r"\s?(?:\[at\]|\(at\)|\{at\}|\bat\b)\s?", r"\s?(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b)\s?"
 SPELLED = re.compile(rf"(?i)[^\W_][\w+-]*(?:(?:\.|{_DOT})[\w+-]+)*{_AT}[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b")
+_SPELLED_END = re.compile(rf"(?i){_AT}[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b")
 BRACKETED = re.compile(r"(?i)[^\W_][\w.+%-]*\s?[\[({]at[\])}]\s?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w@])")
 _G = rf"[{BLANKS}.\-\u2010\u2011/]"
 PHONE = re.compile(
@@ -69,13 +70,16 @@ STREETS = (
 #: Ends and starts of runs of capitalised words that may be streets.
 _STREET_ENDS = tuple({x.strip().rstrip(".") for x in STREETS if x.startswith(" ")} | {x.strip().rstrip(".") for x in STREETS if not x.startswith(" ") and x[0] in "swgpaudrS WPA" and x.strip() not in ("rue", "avenue", "place", "quai", "allée", "square", "passage")})
 _STREET_STARTS = {"Calle", "Plaza", "Camino", "Avenida", "Avda", "Paseo", "Ronda", "Travesía", "Callejón"}
-_FRENCH = re.compile(r"\d[a-z]?(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|place|quai|impasse|chemin|boulevard|allée|cours|square|passage)\s")
+_FRENCH_KINDS = ("rue", "avenue", "place", "quai", "impasse", "chemin", "boulevard", "allée", "cours", "square", "passage")
+_FRENCH = re.compile(rf"\d[a-z]?(?:\s(?:bis|ter|quater))?,?\s(?:{'|'.join(_FRENCH_KINDS)})\s")
 #: House number, capitalised words, and a town: whether this is an address is for the corpus to say.
 OPEN_ADDRESS = re.compile(rf"(?<![\w.])(?:{_UNIT},{S})?\d+[a-z]?{S}(?:{_CAPS}{S}){{1,3}}[{U}][^\W\d_]+(?:,{S}{_UNIT})?(?:,{S}?|,?\n)(?P<town>{_TOWN}(?:{S}{_MORE})?)(?P<post>{_POST})?")
+#: What every such address has.
+_HOUSE = re.compile(rf"\d[a-z]?{S}{_CAPS}{S}[{U}]")
 _CUES = "|".join((*TITLES, *GREETINGS))
 CUES = {*TITLES, *GREETINGS}
 _CUT = re.compile(rf"(?<![^\W_])(?:{_CUES})\.?{S}")
-SEQUENCE = re.compile(rf"(?<![\w@.)])(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)")
+SEQUENCE = re.compile(rf"(?<![\w@.)])(?=[{U}vda])(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)")
 _TURNED = re.compile(TURNED)
 _LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
 _WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
@@ -86,8 +90,11 @@ _NINES = str.maketrans("012345678", "999999999")
 _MARKS = {",", ";", ":", "<", "("}
 _DIGITS = re.compile(rf"\d(?:[{BLANKS}.\-‐‑/()]{{0,3}}\d){{5,}}")
 _AFTER_BY = re.compile(rf"(?<!\w)(?i:(?:reported|written|signed|sent|approved) by){S}(?:{_CUT.pattern})*(?P<n>[^\W\d_][^\W\d_.'’-]*(?:[.'’-]?{S}?[^\W\d_]+){{0,4}})(?=,)")
+_BY = ("reported by", "written by", "signed by", "sent by", "approved by")
 _LEFT = re.compile(r"(?:[\w'’-]+|[^\w\s])")
 _NUMBER = re.compile(rf"(?:{PHONE.pattern})|(?<![\w.+/@-])(?P<id>{ID})(?![\w]|[.\-]\d)")
+#: Where a number may start. It is tried there only, as the whole pattern takes long at every place.
+_NUMBER_START = re.compile(r"(?<![\w.+/@-])[\d+(A-Z]")
 
 
 def _town(m: re.Match) -> tuple[str, str | None, str | None]:
@@ -150,7 +157,7 @@ def _context(text: str, words: list[str], b: int) -> list[str]:
     words = [w.lower() if w.isalpha() else w.lower().translate(_NINES) for w in words[-2:]] or ["^"]
     after = text[b : b + 1]
     if after and after in BLANKS:
-        after = (text[b + 1 : b + 25].lower().split() or "$")[0].rstrip(",.;:!?")
+        after = (text[b + 1 : b + 25].split(None, 1) or "$")[0].lower().rstrip(",.;:!?")
     return [f"l2:{' '.join(words)}", f"l1:{words[-1]}", f"r1:{after if after and after != chr(10) else '$'}"]
 
 
@@ -181,7 +188,7 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
     if _AT_MARK.search(text):
         for m in BRACKETED.finditer(text):
             put("email", *m.span())
-    if any(x in text for x in _DOTS):
+    if any(x in text for x in _DOTS) and _SPELLED_END.search(text):
         for m in SPELLED.finditer(text):
             put("email", *m.span())
     done = 0
@@ -189,7 +196,9 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
     sequences = list(SEQUENCE.finditer(text))
     starts = [m.start() for m in sequences if m.group().endswith(_STREET_ENDS) or m.group().split(" ", 1)[0] in _STREET_STARTS] if digits else []
     if digits:
-        starts += [m.start() for m in _FRENCH.finditer(text)] + _find(text, "C/ ")
+        if any(x in text for x in _FRENCH_KINDS):
+            starts += [m.start() for m in _FRENCH.finditer(text)]
+        starts += _find(text, "C/ ")
     for at in sorted(starts):
         if at < done:
             continue
@@ -201,7 +210,7 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
                 put("address", m.start(), m.start() + len(longer or item), item, longer, [f"t:{town}"] if town else None)
                 done = m.end()
                 break
-    for m in OPEN_ADDRESS.finditer(text) if digits else ():
+    for m in OPEN_ADDRESS.finditer(text) if digits and _HOUSE.search(text) else ():
         if taken.hit(*m.span()) is None:
             out.append(("open", "address", m.group(), *m.span(), None, [f"t:{m['town']}"], []))
     done = 0
@@ -209,12 +218,11 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
         g, a = run.group(), run.start()
         if g.replace(".", "", 1).isdigit() and (len(g) < 9 or "." in g) and not (a and (text[a - 1].isalpha() or text[a - 1] in "+-(")) and not text[run.end() : run.end() + 2].lstrip("-‐‑")[:1].isalpha():
             continue  # a step or a decimal number
-        a = max(done, a - 6)
-        m = _NUMBER.search(text, a, min(len(text), run.end() + 48))
-        while m and m.start() < run.end():
-            done = m.end()
-            _number(text, m, out, taken)
-            m = _NUMBER.search(text, done, min(len(text), run.end() + 48))
+        end, last = run.end(), min(len(text), run.end() + 48)
+        for start in _NUMBER_START.finditer(text, max(done, a - 6), end):
+            if start.start() >= done and (m := _NUMBER.match(text, start.start(), last)):
+                done = m.end()
+                _number(text, m, out, taken)
     _names(text, sequences, out, taken, common)
     return out
 
@@ -238,10 +246,15 @@ SKIP = CUES | CLOSINGS
 RUN_PATTERN = r"(?<![\p{L}\p{N}_@-])\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+(?:[ \u00a0]\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+)*+"
 
 
+def _by(text: str) -> bool:
+    low = text.casefold()
+    return any(x in low for x in _BY)
+
+
 def _names(text: str, sequences: list, out: list, taken: _Taken, common: frozenset[str] | set[str]) -> None:
     small: dict[str, bool] = {}
     found: list[tuple[int, int, str]] = []
-    if " by" in text:
+    if " by" in text and _by(text):
         found += [(*m.span("n"), "any") for m in _AFTER_BY.finditer(text) if not SEQUENCE.fullmatch(m["n"])]
     for m in re.finditer(rf":{S}", text):
         if x := _TURNED.match(text, m.end()):
@@ -311,7 +324,7 @@ def _names(text: str, sequences: list, out: list, taken: _Taken, common: frozens
 def _name(text: str, a: int, b: int, form: str, words: list, taken: _Taken) -> tuple:
     """A name as a candidate: a seed by the cue before it, or as all that a line holds under the closing of a letter."""
     left, starts = _left(text, a)
-    before = left.split()
+    before = left.rsplit(None, 2)
     last = before[-1] if before else ""
     seed = last in CUES or last in LABELS or last[-1:] == "." and last[:-1] in CUES
     near = None

@@ -76,3 +76,35 @@ def test_sanitise_edge_cases(spark):
     assert len(out) == 706 and out[2].clean_text is None and out[3].clean_text == "" and out[4].n_replaced == 0
     assert "[EMAIL]" in out[1].clean_text and "Varlosen thermostat" in out[1].clean_text and "Ada" not in out[1].clean_text and out[1].clean_text == out[5].clean_text
     assert pii.sanitise(docs.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_numbers_are_tried_only_where_one_may_start(monkeypatch):
+    from orbitlake.llm import pii_spans as P
+
+    tried = []
+
+    class Counted:
+        def match(self, text, a, b):
+            tried.append(a)
+            return whole.match(text, a, b)
+
+    whole = P._NUMBER
+    monkeypatch.setattr(P, "_NUMBER", Counted())
+    table = " ".join(f"{k}.250000 -{k}.125000" for k in range(40))
+    text = f"Rows {table} tel (030) 1234567, fax +49 30 123456-7, passport C01234567 and 123-45-6789."
+    got = [(x[1], x[2]) for x in P.spans(text) if x[0] == "number"]
+    assert {"(030) 1234567", "123-45-6789"} <= {i for _, i in got}
+    assert len(tried) < 60 and all(not text[a - 1].isalnum() for a in tried)
+    want, at = [], 0
+    while m := whole.search(text, at):
+        want.append(m.group())
+        at = m.end()
+    assert {i for _, i in got} <= set(want)
+
+
+def test_streets_and_spelled_mails_beside_others():
+    from orbitlake.llm.pii_spans import spans
+
+    text = "Look at 7 rue Verte, 75001 Paris, then 14 Quillmere Parade, Dorrow Bay; write anna at lab dot org. A dot at rest."
+    found = {(x[1], x[2]) for x in spans(text)}
+    assert ("email", "anna at lab dot org") in found and ("address", "7 rue Verte, 75001 Paris") in found and any(x[0] == "open" and x[2].startswith("14 Quillmere Parade") for x in spans(text))
