@@ -88,6 +88,10 @@ def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(docs.where("text is not null and text != ''").select("doc_id", "text").mapInArrow(read, f"doc_id {key}, {ROW}"))
 
 
+def _initial(word: Column) -> Column:
+    return F.endswith(word, F.lit("."))
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -103,11 +107,16 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
     order = F.array(*map(F.lit, sorted(kinds)))
     sigs = found.where(F.col("grp").isin(*KINDS)).groupBy("grp", "terms", "words").agg(F.max(F.array_position(order, F.col("kind"))).alias("seed"))
     sigs = scratch.put(sigs.select("grp", "terms", "words", F.when(F.col("seed") > 0, F.get(order, F.col("seed").cast("int") - 1)).alias("seed"), F.xxhash64("grp", "terms", "words").alias("h")))
-    inner = F.when(F.col("words") != "", F.transform(F.split("words", SEP), lambda w: F.concat(F.lit("w:"), w))).otherwise(F.array().cast("array<string>"))
+    # Initials come after the other words, of which the patterns of names allow eight: their places are bits of a number.
+    by_word = F.split("words", SEP)
+    ordered = F.concat(F.filter(by_word, lambda w: ~_initial(w)), F.filter(by_word, _initial))
+    inner = F.when(F.col("words") != "", F.transform(ordered, lambda w: F.concat(F.lit("w:"), w))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(inner, F.split("terms", SEP))
+    t = F.substring_index("text", ":", 1)
+    beside = t.isin("l1", "l2", "r1")
     parts = sigs.select("h", "grp", F.posexplode(texts).alias("at", "text")).select(
-        "h", "grp", "at", F.xxhash64("grp", "text").alias("term"), F.substring_index("text", ":", 1).alias("t"), F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$").alias("wordy"),
-        ((F.col("grp") == "name") & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"), F.col("text").rlike(r"^w:\p{L}\.$").alias("initial"),
+        "h", "grp", "at", F.xxhash64("grp", "text").alias("term"), t.alias("t"), (beside & F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$")).alias("wordy"),
+        ((F.col("grp") == "name") & beside & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"), ((t == "w") & _initial(F.col("text"))).alias("initial"),
     )
     each = scratch.put(parts)
     hot, _ = hot_keys(each, ["term"], scratch)
@@ -135,7 +144,9 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
         for k, (lift, against) in odds_of.items():
             # A mark beside it may speak against a person, but for one only words, forms and places do.
             sums += [F.sum(F.when(F.col("mark"), F.least(lift, F.lit(0.0))).when(~(alien | cue), lift)).alias(f"s_{k}"), F.max(against & F.col("wordy")).alias(f"v_{k}"), F.max(f"b_{k}").alias(f"b_{k}")]
-        scored = met.groupBy("h").agg(*sums, F.collect_set(F.when(alien, F.col("at"))).alias("cut"), F.collect_set(F.when(cue, F.col("at"))).alias("lead"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))
+        # As bits, since sets would have all rows sorted.
+        scored = met.groupBy("h").agg(*sums, F.bit_or(F.when(alien, bit)).alias("cut"), F.bit_or(F.when(cue, bit)).alias("lead"))
         odds = {k: F.when(F.col(f"v_{k}"), F.lit(-100.0)).otherwise(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)) + _logit(F.col(f"b_{k}"))) for k in kinds}
         raw = scratch.put(scored.select("h", "cut", "lead", *[(1 / (1 + F.exp(-odds[k]))).alias(f"p_{k}") for k in kinds]).join(label, "h"))
         # Only some entities are declared: in the first round, what the declared ones score on average is what a sure one scores.
@@ -148,9 +159,9 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
         label = scratch.put(held.select("h", "grp", F.coalesce("seed", F.when((F.col("score") >= least) & ~F.col("lone"), F.col("k"))).alias("kind"), F.col("seed").isNotNull().alias("seed")))
     out = sigs.join(judged, "h", "left").withColumn("told", F.when(F.col("score") >= DISCLOSURE, F.col("k"))).where("seed is not null or told is not null")
     n_words = F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", SEP)))
-    none = F.array().cast("array<int>")
-    kept = F.array_except(F.sequence(F.lit(0), n_words - 1), F.coalesce("cut", none))
-    out = out.withColumn("kept", F.when(n_words > 0, kept)).withColumn("own", F.array_except("kept", F.coalesce("lead", none)))
+    every = F.sequence(F.lit(0), n_words - 1)
+    places = lambda bits: F.filter(F.filter(every, lambda x: ~_initial(F.get(by_word, x))), lambda _, k: F.call_function("shiftright", F.coalesce(bits, F.lit(0).cast("long")), k) % 2 != 0)
+    out = out.withColumn("kept", F.when(n_words > 0, F.array_except(every, places("cut")))).withColumn("own", F.array_except("kept", places("lead")))
     return out.where("kept is null or size(own) > 0").select("h", "terms", "words", F.coalesce("seed", "told").alias("kind"), "told", "score", F.array_min("own").alias("low"), F.array_max("kept").alias("high"))
 
 

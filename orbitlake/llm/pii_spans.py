@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections.abc import Iterator
 
 U = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĘĚĞĢĪİĶĹĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŴŶŹŻŽ"
 BLANKS = " \u00a0\u2009\u202f"
@@ -69,17 +70,25 @@ STREETS = (
 
 #: Ends and starts of runs of capitalised words that may be streets.
 _STREET_ENDS = tuple({x.strip().rstrip(".") for x in STREETS if x.startswith(" ")} | {x.strip().rstrip(".") for x in STREETS if not x.startswith(" ") and x[0] in "swgpaudrS WPA" and x.strip() not in ("rue", "avenue", "place", "quai", "allée", "square", "passage")})
-_STREET_STARTS = {"Calle", "Plaza", "Camino", "Avenida", "Avda", "Paseo", "Ronda", "Travesía", "Callejón"}
+_STREET_STARTS = ("Calle", "Plaza", "Camino", "Avenida", "Avda", "Paseo", "Ronda", "Travesía", "Callejón")
 _FRENCH_KINDS = ("rue", "avenue", "place", "quai", "impasse", "chemin", "boulevard", "allée", "cours", "square", "passage")
-_FRENCH = re.compile(rf"\d[a-z]?(?:\s(?:bis|ter|quater))?,?\s(?:{'|'.join(_FRENCH_KINDS)})\s")
+#: The house number before such a kind and its blank.
+_FRENCH = re.compile(r"\d[a-z]?(?:\s(?:bis|ter|quater))?,?\s\Z")
 #: House number, capitalised words, and a town: whether this is an address is for the corpus to say.
 OPEN_ADDRESS = re.compile(rf"(?<![\w.])(?:{_UNIT},{S})?\d+[a-z]?{S}(?:{_CAPS}{S}){{1,3}}[{U}][^\W\d_]+(?:,{S}{_UNIT})?(?:,{S}?|,?\n)(?P<town>{_TOWN}(?:{S}{_MORE})?)(?P<post>{_POST})?")
-#: What every such address has.
-_HOUSE = re.compile(rf"\d[a-z]?{S}{_CAPS}{S}[{U}]")
+#: What every such address has: the first letter after its house number.
+_HOUSE = re.compile(rf"[{U}](?:(?<=\d{S}.)|(?<=\d[a-z]{S}.))(?=[\w'’.-]+{S}[{U}])")
+_UNITS = ("Flat", "Apt", "Apt.", "Apartment", "Unit", "Suite")
 _CUES = "|".join((*TITLES, *GREETINGS))
 CUES = {*TITLES, *GREETINGS}
 _CUT = re.compile(rf"(?<![^\W_])(?:{_CUES})\.?{S}")
-SEQUENCE = re.compile(rf"(?<![\w@.)])(?=[{U}vda])(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)")
+#: INITIAL, PARTICLE and WORD after their first character. A pattern that starts with a set of characters skips to these, one that starts by looking back is tried everywhere.
+_INITIAL_REST = rf"(?<=[{U}])\."
+_PARTICLE_REST = rf"(?:(?<=[Vv])(?:an{S}de[rn]|an{S}de|on{S}der|on|an)|(?<=[Dd])(?:e{S}la|el|e)|(?<=d)(?:a|i|u)|(?<=a)f)"
+_WORD_REST = rf"(?:(?:(?<=[OD])['’]|(?<=M)a?c)[{U}]\w+|(?<=[{U}])[^\W\d_]+)(?:{H}(?:O['’]|Ma?c)?[^\W\d_]+)*"
+SEQUENCE = re.compile(
+    rf"[{U}vda](?<![\w@.)].)(?:{_INITIAL_REST}{S}?(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}|{_PARTICLE_REST}{S}{WORD}|{_WORD_REST})(?:{S}(?:{INITIAL}{S}?)*(?:{PARTICLE}{S})?{WORD}){{0,3}}(?!\w)"
+)
 _TURNED = re.compile(TURNED)
 _LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
 _WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
@@ -95,6 +104,13 @@ _LEFT = re.compile(r"(?:[\w'’-]+|[^\w\s])")
 _NUMBER = re.compile(rf"(?:{PHONE.pattern})|(?<![\w.+/@-])(?P<id>{ID})(?![\w]|[.\-]\d)")
 #: Where a number may start. It is tried there only, as the whole pattern takes long at every place.
 _NUMBER_START = re.compile(r"(?<![\w.+/@-])[\d+(A-Z]")
+#: How every number of six digits or more starts. Most digits stand in tables, whose lines have no such place and are passed over.
+#: The set is a wide one, without classes, as it is looked up in a table then.
+_P = rf"[.\-\u2010\u2011{BLANKS}]"
+_NUMBER_HINT = re.compile(
+    rf"[0-9+(A-Z\u0660-\U0010ffff](?<![\w.+/@-].)(?:(?<=\d)(?:\d{{7}}(?:\d|{H}?[A-Z])|\d{{5}}{H}\d{{4}}|\d\d(?:{_P}\d{{3}}{_P}\d{{4}}|{S}\d\d{S}\d{{4}}|{H}\d\d{H}\d{{4}}|{H}\d{{4}})|\d{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}|{S}\d\d{S}\d\d{S}\d\d{S})"
+    rf"|(?<=0)\d|(?<=1)(?:{_G}\d{{3}}{_P}\d{{3}}{_P}\d{{4}}|{S}\(\d)|(?<=[A-Z])[A-Z]{{0,2}}{H}?\d{{6}}|(?<=\+)\d|(?<=\()\d{{3,5}}\))"
+)
 
 
 def _town(m: re.Match) -> tuple[str, str | None, str | None]:
@@ -119,6 +135,41 @@ def _find(text: str, word: str) -> list[int]:
     return out
 
 
+def _french(text: str) -> Iterator[int]:
+    """Last digits of house numbers before a French kind of street."""
+    for kind in _FRENCH_KINDS:
+        for at in _find(text, kind) if kind in text else ():
+            end = at + len(kind)
+            if text[at - 1 : at].isspace() and text[end : end + 1].isspace() and (m := _FRENCH.search(text, max(0, at - 12), at)):
+                yield m.start()
+
+
+def _open_addresses(text: str) -> Iterator[re.Match]:
+    """The matches of OPEN_ADDRESS, which is tried only where a house number with two capitalised words begins, or its unit."""
+    done = 0
+    for house in _HOUSE.finditer(text):
+        at = house.start() - 1
+        at -= not text[at - 1].isdecimal()
+        while at and text[at - 1].isdecimal():
+            at -= 1
+        starts = [at]
+        if at > 1 and text[at - 2] == "," and text[at - 1] in BLANKS:
+            end = at - 2
+            if text[end - 1 : end].isascii() and text[end - 1 : end].isalpha():
+                end -= 1
+            unit = end
+            while unit and text[unit - 1].isdecimal():
+                unit -= 1
+            if 0 < unit < end and text[unit - 1] in BLANKS:
+                before = text[max(0, unit - 12) : unit - 1]
+                starts = [unit - 1 - len(x) for x in _UNITS if before.endswith(x)] + starts
+        for start in starts:
+            if start >= done and (m := OPEN_ADDRESS.match(text, start)):
+                done = m.end()
+                yield m
+                break
+
+
 class _Taken:
     """Disjoint intervals."""
 
@@ -193,11 +244,10 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
             put("email", *m.span())
     done = 0
     digits = _DIGIT.search(text)
-    sequences = list(SEQUENCE.finditer(text))
-    starts = [m.start() for m in sequences if m.group().endswith(_STREET_ENDS) or m.group().split(" ", 1)[0] in _STREET_STARTS] if digits else []
+    sequences = [(m[0], m.start()) for m in SEQUENCE.finditer(text)]
+    starts = [a for x, a in sequences if x.endswith(_STREET_ENDS) or x.startswith(_STREET_STARTS) and x.split(" ", 1)[0] in _STREET_STARTS] if digits else []
     if digits:
-        if any(x in text for x in _FRENCH_KINDS):
-            starts += [m.start() for m in _FRENCH.finditer(text)]
+        starts += _french(text)
         starts += _find(text, "C/ ")
     for at in sorted(starts):
         if at < done:
@@ -210,11 +260,11 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
                 put("address", m.start(), m.start() + len(longer or item), item, longer, [f"t:{town}"] if town else None)
                 done = m.end()
                 break
-    for m in OPEN_ADDRESS.finditer(text) if digits and _HOUSE.search(text) else ():
+    for m in _open_addresses(text) if digits else ():
         if taken.hit(*m.span()) is None:
             out.append(("open", "address", m.group(), *m.span(), None, [f"t:{m['town']}"], []))
     done = 0
-    for run in _DIGITS.finditer(text) if digits else ():
+    for run in _runs(text) if digits else ():
         g, a = run.group(), run.start()
         if g.replace(".", "", 1).isdigit() and (len(g) < 9 or "." in g) and not (a and (text[a - 1].isalpha() or text[a - 1] in "+-(")) and not text[run.end() : run.end() + 2].lstrip("-‐‑")[:1].isalpha():
             continue  # a step or a decimal number
@@ -227,6 +277,16 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
     return out
 
 
+def _runs(text: str) -> Iterator[re.Match]:
+    """The runs of digits, which never pass a line, on those lines that may have a number."""
+    end = -1
+    for hint in _NUMBER_HINT.finditer(text):
+        if hint.start() > end:
+            end = text.find("\n", hint.start())
+            end = len(text) if end < 0 else end
+            yield from _DIGITS.finditer(text, text.rfind("\n", 0, hint.start()) + 1, end)
+
+
 def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
     a, b = m.span()
     if sum(map(str.isdigit, m.group())) >= 6 and not taken.hit(a, b):
@@ -242,8 +302,8 @@ def _number(text: str, m: re.Match, out: list, taken: _Taken) -> None:
 
 
 SKIP = CUES | CLOSINGS
-#: For the first count of words, as a pattern of the JVM: a run of capitalised words.
-RUN_PATTERN = r"(?<![\p{L}\p{N}_@-])\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+(?:[ \u00a0]\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+)*+"
+#: For the first count of words, as a pattern of the JVM: a run of capitalised words. The capital is looked for first, as looking back takes long at every place.
+RUN_PATTERN = r"(?=\p{Lu})(?<![\p{L}\p{N}_@-])\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+(?:[ \u00a0]\p{Lu}[\p{L}'’‐‑-]*+[.:,]?+)*+"
 
 
 def _by(text: str) -> bool:
@@ -267,9 +327,8 @@ def _names(text: str, sequences: list, out: list, taken: _Taken, common: frozens
         if any(len(w) > 2 for w, _, _ in words):
             out.append(_name(text, a, b, form, words, taken))
     busy = bool(taken.starts)
-    for m in sequences:
-        a, b = m.span()
-        item = m.group()
+    for item, a in sequences:
+        b = a + len(item)
         if item.isalpha():
             if item.lower() in common:
                 continue

@@ -1,4 +1,5 @@
 import random
+import re
 
 from orbitlake.llm import pii
 from orbitlake.llm.pii_spans import spans
@@ -108,3 +109,63 @@ def test_streets_and_spelled_mails_beside_others():
     text = "Look at 7 rue Verte, 75001 Paris, then 14 Quillmere Parade, Dorrow Bay; write anna at lab dot org. A dot at rest."
     found = {(x[1], x[2]) for x in spans(text)}
     assert ("email", "anna at lab dot org") in found and ("address", "7 rue Verte, 75001 Paris") in found and any(x[0] == "open" and x[2].startswith("14 Quillmere Parade") for x in spans(text))
+
+
+ODD = (
+    TEXT + "\n9. Mai van der Kel, A. B. De la Mar, af Foo, D’Arc O'Kel-Mac, xVar @Var É. Ödal. Room 7 bis, rue Verte 3, 75001 Paris; true place 5.\n"
+    "Flat 9, 306 Quillmere Parade, Dorrow Bay; Apt. 3B, 12a Foo-4 Bar Xyz, Town and 1.5 Quillmere Parade, Dorrow. Unit ٣, ٣ Alt Neu, Ort.\n"
+    "1-555-123-4567, 1 (800) 1234567, 555‐1234, (030) 1234567, 0171/1234567-12, 01.23.45.67.89, 12345678Z, 1 85 05 78 006 084 36, 12 345 678 901, 123456-7890, 123 45 6789, AB‑123456, 1234567890, +1 1 22 33, ٣٣٣٣٣٣٣٣٣\n"
+)
+
+
+def test_places_tried_are_all_places():
+    from orbitlake.llm import pii_spans as P
+
+    plain = re.compile(rf"(?<![\w@.)])(?=[{P.U}vda])(?:{P.INITIAL}{P.S}?)*(?:{P.PARTICLE}{P.S})?{P.WORD}(?:{P.S}(?:{P.INITIAL}{P.S}?)*(?:{P.PARTICLE}{P.S})?{P.WORD}){{0,3}}(?!\w)")
+    rnd = random.Random(1)
+    for k in range(300):
+        text = ODD if k == 0 else "".join(rnd.sample(re.findall(r"\S+|\s", ODD), 60)).replace(" ", "\n", rnd.randrange(20))
+        assert [m.span() for m in P.SEQUENCE.finditer(text)] == [m.span() for m in plain.finditer(text)]
+        assert [m.span() for m in P._open_addresses(text)] == [m.span() for m in P.OPEN_ADDRESS.finditer(text)]
+        lines = {text.count("\n", 0, m.start()) for m in P._NUMBER_HINT.finditer(text)}
+        assert all(text.count("\n", 0, m.start()) in lines for m in P._NUMBER.finditer(text) if sum(map(str.isdigit, m.group())) >= 6)
+    assert [x[2] for x in P.spans("7 bis, rue Verte, 75001 Paris. The true place is 5 and\n9 quai Neuf, 75001 Paris") if x[1] == "address"] == ["7 bis, rue Verte, 75001 Paris", "9 quai Neuf, 75001 Paris"]
+
+
+def test_lines_without_numbers_are_passed_over(monkeypatch):
+    from orbitlake.llm import pii_spans as P
+
+    read = []
+
+    class Counted:
+        def finditer(self, text, a=0, b=1 << 60):
+            for m in whole.finditer(text, a, b):
+                read.append(m.group())
+                yield m
+
+    whole = P._DIGITS
+    monkeypatch.setattr(P, "_DIGITS", Counted())
+    text = "\n".join(f"  {1000000 + 7 * k}   298.{k % 90 + 10}5 -5004.6832" for k in range(200)) + "\ncall (030) 1234567\n" + "  4084800   298.925\n"
+    assert [x[2] for x in P.spans(text) if x[0] == "number"] == ["(030) 1234567"] and read == ["030) 1234567"]
+
+
+def test_words_cut_as_bits(spark):
+    """Initials, however many, take no place among the words of a name that the corpus cuts, and no aggregate sorts its rows for sets."""
+    import io
+    from contextlib import redirect_stdout
+
+    plans = []
+
+    class Seen(Scratch):
+        def put(self, df, by=None):
+            with redirect_stdout(io.StringIO()) as said:
+                df.explain()
+            plans.append(said.getvalue())
+            return super().put(df, by)
+
+    long = " ".join(f"{chr(65 + k % 26)}." for k in range(70))
+    docs = [(k, t, c) for k, t, c in corpus()[0]] + [(9000, f"Mr {long} Varlosen has the key.", "x")]
+    scratch = Seen(spark, "test")
+    got = {(r.doc_id, r.item) for r in pii.accepted(pii.candidates(spark.createDataFrame(docs, SCHEMA), scratch), scratch).collect()}
+    assert (9000, f"{long} Varlosen") in got
+    assert not any("collect_set" in p for p in plans)
