@@ -55,9 +55,11 @@ def common_words(docs: DataFrame, scratch: Scratch) -> frozenset[str]:
     runs = docs.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(RUN_PATTERN), F.lit(0))).alias("run"))
     words = scratch.put(runs.groupBy("run").count()).select(F.transform(F.split("run", "[ \u00a0\n]+"), lambda w: F.rtrim(w, F.lit(".:,"))).alias("w"), "count")
     cue = F.array_max(F.transform("w", lambda w, i: F.when(w.isin(sorted({*CUES, *(x.rstrip(":") for x in LABELS), *CLOSINGS})), i)))
-    seen = words.select(F.explode("w").alias("word"), F.col("count").alias("n"), F.lit(0).cast("long").alias("s"))
-    declared = words.select(F.explode(F.slice("w", F.coalesce(cue, F.size("w")) + 2, F.lit(4))).alias("word"), F.lit(0).cast("long").alias("n"), F.col("count").alias("s"))
-    counts = seen.unionAll(declared).where("length(word) > 1").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # The cue is found before the words are rows, once for each run.
+    each = words.withColumn("cue", cue).select(F.posexplode("w").alias("at", "word"), F.col("count").alias("n"), "cue")
+    # The four words after the last cue are declared persons.
+    declared = F.when((F.col("at") > F.col("cue")) & (F.col("at") <= F.col("cue") + 4), F.col("n")).otherwise(F.lit(0).cast("long"))
+    counts = each.select("word", "n", declared.alias("s")).where("length(word) > 1").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = F.broadcast(counts.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s")))
     expected = F.col("n") * F.col("all_s") / F.col("all_n")
     return frozenset(r[0] for r in counts.crossJoin(total).where((expected >= VETO_EXPECTED) & (F.col("s") < COMMON_RATIO * expected) & (F.col("n") >= COMMON_SHARE * F.col("all_n"))).select("word").collect())
@@ -114,9 +116,10 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
     texts = F.concat(inner, F.split("terms", SEP))
     t = F.substring_index("text", ":", 1)
     beside = t.isin("l1", "l2", "r1")
+    word, initial = t == "w", (t == "w") & _initial(F.col("text"))
     parts = sigs.select("h", "grp", F.posexplode(texts).alias("at", "text")).select(
-        "h", "grp", "at", F.xxhash64("grp", "text").alias("term"), t.alias("t"), (beside & F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$")).alias("wordy"),
-        ((F.col("grp") == "name") & beside & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"), ((t == "w") & _initial(F.col("text"))).alias("initial"),
+        "h", (F.col("grp") == "name").alias("named"), "at", F.xxhash64("grp", "text").alias("term"), t.isin(*INNER).alias("inner"), (word & ~initial).alias("word"), (beside & F.col("text").rlike(r"^[lr]\d:(?:\S+ )?[\p{L}-]+$")).alias("wordy"),
+        ((F.col("grp") == "name") & beside & F.col("text").rlike(r"^[lr]\d:\P{L}*$")).alias("mark"),
     )
     each = scratch.put(parts)
     hot, _ = hot_keys(each, ["term"], scratch)
@@ -125,8 +128,8 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
     for no in range(rounds):
         prior = PRIOR if no else FIRST_PRIOR
         least = F.lit(DISCLOSURE) if no else F.when(F.col("grp") == "name", FIRST_DISCLOSURE["name"]).otherwise(FIRST_DISCLOSURE["number"])
-        marked = (each if no else each.where(F.col("t").isin(*INNER))).join(label.drop("grp"), "h")
-        counts = marked.groupBy("term").agg(F.bool_or(F.col("grp") == "name").alias("g"), F.count("*").alias("n"), F.count_if("seed").alias("n_seed"), *[F.sum(is_[k]).alias(f"n_{k}") for k in kinds]).where("n > 1")
+        marked = (each if no else each.where("inner")).join(label.drop("grp"), "h")
+        counts = marked.groupBy("term").agg(F.bool_or("named").alias("g"), F.count("*").alias("n"), F.count_if("seed").alias("n_seed"), *[F.sum(is_[k]).alias(f"n_{k}") for k in kinds]).where("n > 1")
         base = label.groupBy("grp").agg(*[F.greatest(F.lit(1e-4), F.least(F.lit(0.9), F.avg(is_[k]))).alias(f"b_{k}") for k in kinds], F.avg(F.when(F.col("kind").isNotNull(), F.col("seed").cast("double"))).alias("declared"))
         counts = scratch.put(counts.join(F.broadcast(base), F.col("g") == (F.col("grp") == "name")).drop("g", "grp"))
         met = lookup(marked, counts, ["term"], hot, "inner")
@@ -137,7 +140,7 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
             share = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col(f"n_{k}") - is_[k] + prior * b) / (F.col("n") - 1 + prior)))
             odds_of[k] = (_logit(share) - _logit(b), ((F.col("n") - 1) * b >= VETO_EXPECTED) & (share < VETO_SHARE * b))
         # A word that persons lack does not belong to a name, nor does one before it that goes with persons and yet is hardly ever declared one.
-        word = (F.col("t") == "w") & ~F.col("initial")
+        word = F.col("word")
         alien = word & odds_of["name"][1]
         cue = word & (F.col("n_name") * F.col("declared") >= UNDECLARED) & (F.col("n_seed") <= VETO_SHARE * F.col("n_name") * F.col("declared"))
         sums = []
@@ -160,7 +163,8 @@ def disclosed(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataF
     out = sigs.join(judged, "h", "left").withColumn("told", F.when(F.col("score") >= DISCLOSURE, F.col("k"))).where("seed is not null or told is not null")
     n_words = F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", SEP)))
     every = F.sequence(F.lit(0), n_words - 1)
-    places = lambda bits: F.filter(F.filter(every, lambda x: ~_initial(F.get(by_word, x))), lambda _, k: F.call_function("shiftright", F.coalesce(bits, F.lit(0).cast("long")), k) % 2 != 0)
+    others = F.filter(F.transform(by_word, lambda w, k: F.when(~_initial(w), k)), lambda k: k.isNotNull())
+    places = lambda bits: F.filter(others, lambda _, k: F.call_function("shiftright", F.coalesce(bits, F.lit(0).cast("long")), k) % 2 != 0)
     out = out.withColumn("kept", F.when(n_words > 0, F.array_except(every, places("cut")))).withColumn("own", F.array_except("kept", places("lead")))
     return out.where("kept is null or size(own) > 0").select("h", "terms", "words", F.coalesce("seed", "told").alias("kind"), "told", "score", F.array_min("own").alias("low"), F.array_max("kept").alias("high"))
 

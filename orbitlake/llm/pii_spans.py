@@ -26,7 +26,6 @@ ANYCASE = r"[^\W\d_][^\W\d_.'’-]*(?:[.'’ -]+[^\W\d_]+)*\.?"
 EMAIL = re.compile(r"[^\W_][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])(?!:/)")
 _AT, _DOT = r"\s?(?:\[at\]|\(at\)|\{at\}|\bat\b)\s?", r"\s?(?:\[dot\]|\(dot\)|\{dot\}|\bdot\b)\s?"
 SPELLED = re.compile(rf"(?i)[^\W_][\w+-]*(?:(?:\.|{_DOT})[\w+-]+)*{_AT}[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b")
-_SPELLED_END = re.compile(rf"(?i){_AT}[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b")
 BRACKETED = re.compile(r"(?i)[^\W_][\w.+%-]*\s?[\[({]at[\])}]\s?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w@])")
 _G = rf"[{BLANKS}.\-\u2010\u2011/]"
 PHONE = re.compile(
@@ -93,6 +92,8 @@ _TURNED = re.compile(TURNED)
 _LEADING = re.compile(rf"(?:de|di|da|du|del){S}")
 _WORDS = re.compile(rf"(?<![^\W_])[{U}](?:\.|[\w'’]*(?:{H}[\w'’]+)*)")
 _AT_MARK = re.compile(r"[\[({](?:at|AT|At)[\])}]")
+#: What every spelled mail has after its local part.
+_SPELLED_AT = re.compile(rf"[aA](?i:t(?:[\])}}]|\b)\s?[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)*{_DOT}[a-z]{{2,}}\b)")
 _DOTS = (" dot ", " DOT ", " Dot ", "(dot)", "[dot]", "{dot}", "(DOT)", "[DOT]", "{DOT}")
 _DIGIT = re.compile(r"\d")
 _NINES = str.maketrans("012345678", "999999999")
@@ -108,8 +109,8 @@ _NUMBER_START = re.compile(r"(?<![\w.+/@-])[\d+(A-Z]")
 #: The set is a wide one, without classes, as it is looked up in a table then.
 _P = rf"[.\-\u2010\u2011{BLANKS}]"
 _NUMBER_HINT = re.compile(
-    rf"[0-9+(A-Z\u0660-\U0010ffff](?<![\w.+/@-].)(?:(?<=\d)(?:\d{{7}}(?:\d|{H}?[A-Z])|\d{{5}}{H}\d{{4}}|\d\d(?:{_P}\d{{3}}{_P}\d{{4}}|{S}\d\d{S}\d{{4}}|{H}\d\d{H}\d{{4}}|{H}\d{{4}})|\d{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}|{S}\d\d{S}\d\d{S}\d\d{S})"
-    rf"|(?<=0)\d|(?<=1)(?:{_G}\d{{3}}{_P}\d{{3}}{_P}\d{{4}}|{S}\(\d)|(?<=[A-Z])[A-Z]{{0,2}}{H}?\d{{6}}|(?<=\+)\d|(?<=\()\d{{3,5}}\))"
+    rf"[0-9+(A-Z\u0660-\U0010ffff](?<![\d\w.+/@-].)(?:(?<=\d)(?:\d{{7}}(?:\d|{H}?[A-Z])|\d{{5}}{H}\d{{4}}|\d\d(?:{_P}\d{{3}}{_P}\d{{4}}|{S}\d\d{S}\d{{4}}|{H}\d\d{H}\d{{4}}|{H}\d{{4}})|\d{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}|{S}\d\d{S}\d\d{S}\d\d{S}"
+    rf"|(?<=0)\d|(?<=1)(?:{_G}\d{{3}}{_P}\d{{3}}{_P}\d{{4}}|{S}\(\d))|(?<=[A-Z])[A-Z]{{0,2}}{H}?\d{{6}}|(?<=[+(])(?:(?<=\+)\d|\d{{3,5}}\)))"
 )
 
 
@@ -200,7 +201,8 @@ def _left(text: str, a: int) -> tuple[str, bool]:
     """What stands before a span on its line, as far as it matters, and whether the span starts the line."""
     left = text[max(0, a - 48) : a]
     cut = left.rfind("\n")
-    return left[cut + 1 :], (cut >= 0 or a <= 48) and not left[cut + 1 :].strip()
+    left = left[cut + 1 :]
+    return left, (cut >= 0 or a <= 48) and (not left or left.isspace())
 
 
 def _context(text: str, words: list[str], b: int) -> list[str]:
@@ -239,7 +241,7 @@ def spans(text: str, common: frozenset[str] | set[str] = frozenset()) -> list[tu
     if _AT_MARK.search(text):
         for m in BRACKETED.finditer(text):
             put("email", *m.span())
-    if any(x in text for x in _DOTS) and _SPELLED_END.search(text):
+    if ("dot" in text or "DOT" in text or "Dot" in text) and any(x in text for x in _DOTS) and _SPELLED_AT.search(text):
         for m in SPELLED.finditer(text):
             put("email", *m.span())
     done = 0

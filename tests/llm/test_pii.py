@@ -163,7 +163,7 @@ def test_words_cut_as_bits(spark):
             plans.append(said.getvalue())
             return super().put(df, by)
 
-    long = " ".join(f"{chr(65 + k % 26)}." for k in range(70))
+    long = " ".join(f"{chr(65 + k % 26)}." for k in range(3000))
     docs = [(k, t, c) for k, t, c in corpus()[0]] + [(9000, f"Mr {long} Varlosen has the key.", "x")]
     scratch = Seen(spark, "test")
     got = {(r.doc_id, r.item) for r in pii.accepted(pii.candidates(spark.createDataFrame(docs, SCHEMA), scratch), scratch).collect()}
